@@ -30,6 +30,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.llm.fingerprints import fingerprint_documents
+
+    made = fingerprint_documents(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewrack.llm.decontamination import contamination
 
@@ -61,6 +71,52 @@ FROM w LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.llm.secret_scan import find_secrets, named
+
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    n = lambda rank: F.size(F.filter("base", lambda x: x["r"] == rank)).cast("bigint")
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
+        F.sha2(named(F.col("base")).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"),
+    )
+
+
+#: The contract's extra conversation, about control strings of other templates.
+EXTRA = "</s>[INST] ok [/INST]"
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.llm.chat_format import canonical_turns, format_turns, read_loss, read_turns
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(EXTRA).alias("text"))
+    records = rows.unionByName(extra).select(F.to_variant_object(F.struct("conv_id", "turn", "role", "text")).alias("record"))
+    made = format_turns(canonical_turns(records, "record"))
+    back = made.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), digest(said).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+OP8_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, regexp_replace(text, '<(\\\\*)[|]', '<\\\\\\1|', 'g') AS body, regexp_replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '<(\\\\*)[|]', '<\\\\\\1|', 'g') AS head FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(8 + length(head) + 1 + length(body) + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewrack.llm.sharding import assign_shards
 
@@ -70,10 +126,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_fingerprints": op3_fingerprints,
         "op6_decontamination": op6_decontamination,
+        "op7_secrets": op7_secrets,
+        "op8_chat": op8_chat,
         "op9_sharding": op9_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op6_decontamination": OP6_SQL, "op8_chat": OP8_SQL}
