@@ -47,6 +47,7 @@ class Vocabulary:
     def __init__(self, pairs, ranks, merged, byte_ids, token_bytes, token_at, special) -> None:
         self.pairs, self.ranks, self.merged = pairs, ranks, merged
         self.byte_ids, self.token_bytes, self.token_at, self.special = byte_ids, token_bytes, token_at, special
+        self._byte_ranks = None
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -75,6 +76,12 @@ class Vocabulary:
             np.array([vocab.get(s, -1) for s in symbols], np.int32), np.frombuffer(b"".join(raw), np.uint8), at, added,
         )
 
+    def byte_ranks(self) -> np.ndarray:
+        """Rank of each pair of bytes."""
+        if self._byte_ranks is None:
+            self._byte_ranks = self.rank(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))[0].reshape(256, 256)
+        return self._byte_ranks
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each pair (NONE: no merge) and its place."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
@@ -92,7 +99,7 @@ def merge_short(vocab: Vocabulary, pieces: list[bytes]) -> list[bytes]:
     parts = np.concatenate([parts, np.full((n, 1), -1, np.int32)], 1)
     ranks = np.full((n, width), NONE, np.int32)
     if width > 1:
-        ranks[:, :-1] = vocab.rank(parts[:, : width - 1].ravel(), parts[:, 1:width].ravel())[0].reshape(n, width - 1)
+        ranks[:, :-1] = np.where(parts[:, 1:width] >= 0, vocab.byte_ranks()[raw[:, :-1], raw[:, 1:]], NONE)
     out: list[bytes] = [b""] * n
     row, column = np.arange(n), np.arange(width)
     while len(row):
@@ -156,47 +163,47 @@ def merge_long(vocab: Vocabulary, piece: bytes) -> bytes:
 
 
 class Encoder:
-    """Encodes texts with a bounded memory of pieces and of units (white space and the run after it)."""
+    """Encodes texts with a bounded memory of units: pieces where a plain pattern can tell them, else runs to be split.
+
+    A unit starts where a piece starts. Runs of Latin letters before an ASCII character that is no letter, and runs of
+    ASCII punctuation other than apostrophes before a letter, digit or white space, are pieces whatever comes before;
+    any other unit runs up to the next white space and is split by the vocabulary's pattern.
+    """
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
-        self.pieces: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
-        self.split = regex.compile(PATTERN.replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]").replace(rf"[^[{SPACE}]", f"[^{SPACE}")).findall
-        self.unit = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.split = regex.compile(PATTERN.replace(r"\s\p", f"{SPACE}\\p").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
+        letters, marks = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba", "!-&(-/:-@\\[-`{-~"
+        self.unit = re.compile(f" ?[{letters}]+(?=[\0-@\\[-`{{-\x7f]|\\Z)| ?[{marks}]+(?=[A-Za-z0-9 \n]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
 
     def learn(self, units: set[str]) -> None:
         """Merge the pieces of units that are not known yet."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        if len(self.units) > CACHE:
-            self.units.clear()
-        cut = {u: self.split(u) for u in units}
-        new = {p for x in cut.values() for p in x if p not in self.pieces}
+        have = self.units
+        cut = {u: p for u in units if not (u.isalpha() or u[1:].isalpha() and u[0] == " ") and len(p := self.split(u)) > 1}
         groups: dict[int, list[tuple[str, bytes]]] = {}
-        for p in new:
+        for p in {p for x in cut.values() for p in x if p not in have}.union(units.difference(cut)):
             raw = p.encode("utf-8", "surrogatepass")
             if len(raw) > SHORT:
-                self.pieces[p] = merge_long(self.vocab, raw)
+                have[p] = merge_long(self.vocab, raw)
             else:
-                groups.setdefault(-(-len(raw) // 6), []).append((p, raw))
+                groups.setdefault(-(-len(raw) // 4), []).append((p, raw))
         for group in groups.values():
-            for k in range(0, len(group), 20_000):
-                part = group[k : k + 20_000]
-                self.pieces.update(zip([p for p, _ in part], merge_short(self.vocab, [r for _, r in part]), strict=True))
-        have = self.pieces
+            for k in range(0, len(group), 8192):
+                part = group[k : k + 8192]
+                have.update(zip([p for p, _ in part], merge_short(self.vocab, [r for _, r in part]), strict=True))
         for u, x in cut.items():
-            self.units[u] = have[x[0]] if len(x) == 1 else b"".join([have[p] for p in x])
+            have[u] = b"".join([have[p] for p in x])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32 bytes; special strings take their own ids."""
         parts = [self.special.split(t) if self.special and t else [t] for t in texts]
         cut = [[self.unit(x) if k % 2 == 0 else x for k, x in enumerate(p)] for p in parts]
-        have = self.units
-        if new := {u for p in cut for x in p[::2] for u in x if u not in have}:
-            known = len(have) <= CACHE and len(self.pieces) <= CACHE
-            self.learn(new if known else {u for p in cut for x in p[::2] for u in x})
+        if len(self.units) > CACHE:
+            self.units.clear()
+        if new := set().union(*(x for p in cut for x in p[::2])).difference(self.units):
+            self.learn(new)
         get = self.units.__getitem__
         out = []
         for p in cut:
@@ -208,7 +215,7 @@ class Encoder:
 
 
 #: Characters of text taken at a time.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def encode_array(encoder: Encoder, texts: pa.Array) -> pa.Array:
