@@ -95,3 +95,59 @@ def per_worker(key: str, build):
             _BUILT.clear()
         _BUILT[key] = build()
     return _BUILT[key]
+
+
+def training_texts(rows: DataFrame, most_chars: int) -> pa.Table:
+    """The rows of a bounded sample on the driver, fewer where their texts (column ``text``) hold over ``most_chars``."""
+    held = materialize(rows, "sample")
+    chars = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    if chars > most_chars:
+        share = int(most_chars / chars * 2**31)
+        held = held.filter(F.pmod(F.xxhash64(F.lit("chars"), "text"), F.lit(2**31)) < share)
+    return held.toArrow()
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def code_table(kind: str) -> np.ndarray:
+    """Code of every code point: itself if ``kind`` (a str method) holds for it, else a space."""
+    if kind not in _TABLES:
+        test = getattr(str, kind)
+        _TABLES[kind] = np.fromiter((i if test(chr(i)) else 32 for i in range(0x110000)), np.uint32, 0x110000)
+    return _TABLES[kind]
+
+
+def codes(texts: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased characters of all texts in one array, each text between two spaces, runs of spaces as one; n + 1 starts."""
+    raw = np.frombuffer("\x00".join([f" {t.lower()} " for t in texts]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    mapped = code_table(kind)[raw]
+    ends = np.flatnonzero(raw == 0)
+    if len(ends) != len(texts) - 1:  # texts with such a character of their own
+        sizes = [len(t.lower()) + 2 for t in texts]
+        ends = np.cumsum(sizes)[:-1] + np.arange(len(texts) - 1)
+    keep = np.ones(len(mapped), bool)
+    keep[1:] = (mapped[1:] != 32) | (mapped[:-1] != 32)
+    keep[ends] = True
+    if len(ends):
+        keep[ends + 1] = True
+        keep[np.maximum(ends - 1, 0)] |= mapped[np.maximum(ends - 1, 0)] != 32
+    keep[ends] = False
+    at = np.concatenate([[0], np.cumsum(keep)])
+    starts = np.concatenate([[0], at[ends + 1], [at[-1]]]) if len(texts) else np.zeros(1, np.int64)
+    return mapped[keep], starts.astype(np.int64)
+
+
+def ngram_hashes(chars: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...], bits: int) -> list[np.ndarray]:
+    """Hash of the n-gram at every character for each size; 0 where it would reach beyond its text."""
+    out, h = [], chars * np.uint32(0x9E3779B1)
+    ends = starts[1:]
+    for n in range(2, max(sizes) + 1):
+        h = h[:-1] * np.uint32(0x01000193) + (chars[n - 1 :] ^ (chars[n - 1 :] << np.uint32(15))) if len(h) > 1 else h[:0]
+        if n in sizes:
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            x = np.maximum(mixed >> np.uint32(32 - bits), np.uint32(1))
+            over = (ends[:, None] - np.arange(1, n)).ravel()
+            x[over[(over >= 0) & (over < len(x))]] = 0
+            out.append(x)
+    return out

@@ -19,6 +19,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewrack.llm.bpe import tokenize
 
@@ -123,14 +129,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_bpe": op2_bpe,
         "op3_fingerprints": op3_fingerprints,
         "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
         "op8_chat": op8_chat,
         "op9_sharding": op9_sharding,
+        "op10_language": op10_language,
     }
 
 
