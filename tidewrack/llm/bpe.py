@@ -18,12 +18,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import list_array, per_worker
+from tidewrack.llm.common import list_array, per_worker, small_batches
 
 #: Pieces of more bytes are merged with a heap.
 SHORT = 64
 #: Pieces and units a worker remembers; beyond it the memory starts anew.
-CACHE = 400_000
+CACHE = 200_000
 #: The split pattern of the vocabulary, and Unicode's White_Space characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -215,7 +215,7 @@ class Encoder:
 
 
 #: Characters of text taken at a time.
-CHUNK = 1_000_000
+CHUNK = 500_000
 
 
 def encode_array(encoder: Encoder, texts: pa.Array) -> pa.Array:
@@ -279,6 +279,7 @@ class Tokenizer:
 def tokenize(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, ids and decoded text of every row. Repeated rows give repeated results; an empty table gives none; other
     columns are ignored, whatever their names; null and empty texts have no ids and decode to the empty text."""
+    small_batches(docs.sparkSession)
     tokens = Tokenizer(docs.sparkSession, path)
     encoded = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).select("k", tokens.encode(F.col("t")).alias("ids"))
     return encoded.select(F.col("k").alias(doc_id), "ids", tokens.decode(F.col("ids")).alias("decoded"))
