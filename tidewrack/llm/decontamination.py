@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import blocks, list_array, per_worker, string_buffers
+from tidewrack.llm.common import blocks, list_array, per_worker, small_batches, string_buffers
 
 WINDOW = 13
 #: Bytes of item texts that one broadcast may hold. A larger benchmark is scanned block by block.
@@ -180,6 +180,7 @@ def benchmark_hits(spark, benchmark: DataFrame, text: Column, item_id: str = "it
 
     Null and word-less texts have no words and no hits; null items have no windows; repeated items count once by id.
     """
+    small_batches(spark)
     merged = None
     for block in item_blocks(benchmark, item_id, item_text, block_bytes):
         hits = _scanner(spark.sparkContext.broadcast(block), window)(text)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import bounded_sample, codes, id_bucket, ngram_hashes, per_worker, training_texts
+from tidewrack.llm.common import bounded_sample, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
 
 TRAIN_ROWS, TRAIN_CHARS = 16_000, 40_000_000
 SIZES, BITS = (3,), 14
@@ -110,6 +110,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
 def mixture(spark, model: Model, text: Column) -> Column:
     """Struct column: predicted language, its share, and all selected languages with their shares, largest first."""
+    small_batches(spark)
     shared, key = spark.sparkContext.broadcast(model), f"language-{uuid.uuid4().hex}"
 
     def run(texts: pa.Array) -> pa.Array:

@@ -46,6 +46,13 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.llm.suffix_dedup import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewrack.llm.decontamination import contamination
 
@@ -140,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_bpe": op2_bpe,
         "op3_fingerprints": op3_fingerprints,
+        "op5_repeats": op5_repeats,
         "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,
         "op8_chat": op8_chat,

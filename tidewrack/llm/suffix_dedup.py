@@ -11,7 +11,12 @@ Neighbouring windows with one anchor form a segment. Rounds:
 1. Ranks of GRAM bytes of all anchors are counted; unique ones are dropped, with all windows of their segments.
 2. The other segments are ranked as whole strings (LENGTH bytes and more). All windows of a segment that occurred before
    are repeats. The first occurrence of each segment is settled if its anchor's rank has no other segment.
-3. The windows of the remaining first occurrences are ranked at LENGTH bytes; all but the first of each rank are repeats.
+3. The remaining first occurrences are cut into blocks of BLOCK windows, aligned to the anchor, and ranked by the CORE
+   bytes that the windows of a block share: unique ones are settled; blocks that occurred before as a whole are repeats.
+4. The windows of the remaining first blocks are ranked at LENGTH bytes; all but the first of each rank are repeats.
+
+Every round writes its small result to the shared folder and lets go of its shuffles, so that an executor's loss costs
+one round and the disk holds one round at a time. Joins are between written tables, so that skewed ranks can be split.
 """
 
 import numpy as np
@@ -19,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import blocks, materialize, string_buffers
+from tidewrack.llm.common import blocks, forget, materialize, release, small_batches, string_buffers
 
-LENGTH, GRAM = 100, 24
+LENGTH, GRAM, BLOCK = 100, 32, 8
+CORE = LENGTH - BLOCK + 1
 SPAN = LENGTH - GRAM + 1
-CHUNK = 1 << 20
+CHUNK = 1 << 16
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 
@@ -38,11 +44,12 @@ def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def ranks(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks of 16, 24, 32 and 64 bytes at every position where so many follow."""
-    out = {1: _BYTE[data]}
+    """Ranks of 32 and 64 bytes at every position where so many follow."""
+    rank, out = _BYTE[data], {}
     for k in (1, 2, 4, 8, 16, 32):
-        out[2 * k] = pair(out[k][:-k], out[k][k:])
-    out[24] = pair(out[16][:-8], out[8][16:])
+        rank = pair(rank[:-k], rank[k:])
+        if k >= 16:
+            out[2 * k] = rank
     return out
 
 
@@ -59,30 +66,209 @@ def anchors(grams: np.ndarray) -> np.ndarray:
 
 
 class Segments:
-    """Segments of neighbouring texts: text number, first window, number of windows, rank of the anchor and of the whole."""
+    """Segments of neighbouring texts: text number, first window, number of windows, place of the anchor in the first
+    window, rank of the anchor and of the whole."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
         first, n = int(offsets[0]), int(offsets[-1] - offsets[0])
-        self.rank = ranks(data[first : first + n]) if n >= LENGTH else {}
         if n < LENGTH:
-            self.text = self.start = self.count = np.zeros(0, np.int64)
+            self.text = self.start = self.count = self.inside = np.zeros(0, np.int64)
             self.anchor = self.whole = np.zeros(0, np.uint64)
             return
-        at = anchors(self.rank[24])
-        ends = offsets[1:] - first
+        rank = ranks(data[first : first + n])
+        at = anchors(rank[GRAM])
+        starts, ends = offsets[:-1] - first, offsets[1:] - first
         ok = np.ones(len(at), bool)
         for e in np.unique(ends[:-1]).tolist():
             ok[max(0, e - LENGTH + 1) : e] = False
-        begin = ok.copy()
-        begin[1:] &= ~ok[:-1] | (at[1:] != at[:-1])
-        stop = ok.copy()
-        stop[:-1] &= ~ok[1:] | (at[1:] != at[:-1])
+        begin, stop, moved = ok.copy(), ok.copy(), at[1:] != at[:-1]
+        begin[1:] &= ~ok[:-1] | moved
+        stop[:-1] &= ~ok[1:] | moved
         s, e = np.flatnonzero(begin), np.flatnonzero(stop)
-        self.text = np.searchsorted(offsets - first, s, "right") - 1
-        self.start, self.count = s - (offsets - first)[self.text], e - s + 1
-        self.anchor = self.rank[24][at[s]]
-        self.whole = pair(self.windows(s), self.windows(e)) ^ (self.count.astype(np.uint64) * _B)
-
-    def windows(self, at: np.ndarray) -> np.ndarray:
-        """Ranks of LENGTH bytes at positions of the block."""
-        return pair(self.rank[64][at], self.rank[64][at + LENGTH - 64])
+        self.text = np.searchsorted(starts, s, "right") - 1
+        self.start, self.count, self.inside = s - starts[self.text], e - s + 1, at[s] - s
+        self.anchor = rank[GRAM][at[s]]
+        self.whole = pair(windows(rank, s), windows(rank, e)) ^ (self.count.astype(np.uint64) * _B)
+
+    def packed(self) -> np.ndarray:
+        return self.start << 14 | self.count << 7 | self.inside
+
+
+def windows(rank: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Ranks of LENGTH bytes at positions."""
+    return pair(rank[64][at], rank[64][at + LENGTH - 64])
+
+
+def block_rows(text: bytes, packed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks of the given segments of one text: group (anchor's rank and place of the block), rank of the core, rank of
+    the whole, first window and number of windows (packed)."""
+    rank = ranks(np.frombuffer(text, np.uint8))
+    start, count, inside = packed >> 14, packed >> 7 & 127, packed & 127
+    anchor = start + inside
+    low, high = (anchor - (start + count - 1)) // BLOCK, inside // BLOCK
+    n = high - low + 1
+    seg = np.repeat(np.arange(len(start)), n)
+    j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[seg]
+    a = anchor[seg]
+    near, far = np.maximum(j * BLOCK, a - (start + count - 1)[seg]), np.minimum(j * BLOCK + BLOCK - 1, inside[seg])
+    core = pair(rank[64][a - j * BLOCK], rank[64][a - j * BLOCK + CORE - 64])
+    whole = pair(windows(rank, a - far), windows(rank, a - near)) ^ ((near << 8 | far).astype(np.uint64) * _B)
+    group = pair(rank[GRAM][a], j.astype(np.uint64))
+    return group, core, whole, (a - far) << 7 | (far - near + 1)
+
+
+def window_rows(text: bytes, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rank and place of each window of the given blocks of one text."""
+    rank = ranks(np.frombuffer(text, np.uint8))
+    start, count = packed >> 7, packed & 127
+    at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return windows(rank, at), at
+
+
+def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    arrays = [pa.array(c.view(np.int64) if isinstance(c, np.ndarray) and c.dtype == np.uint64 else c, f.type) for c, f in zip(columns, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+
+def _longs(*names: str) -> pa.Schema:
+    return pa.schema([(n, pa.int64()) for n in names])
+
+
+_SEGMENT = _longs("h", "s", "k", "th", "p")
+_BLOCK = _longs("g", "c", "b", "k", "th", "p")
+_WINDOW = _longs("w", "k", "th", "p")
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{n} bigint" for n in schema.names)
+
+
+def _anchors_of(batches):
+    for batch in batches:
+        data, offsets = string_buffers(batch.column(0))
+        for a, b in blocks(offsets, CHUNK):
+            yield _batch(_longs("h"), Segments(data, offsets[a : b + 1]).anchor)
+
+
+def _segments_of(batches):
+    for batch in batches:
+        k, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        data, offsets = string_buffers(batch.column(2))
+        for a, b in blocks(offsets, CHUNK):
+            x = Segments(data, offsets[a : b + 1])
+            yield _batch(_SEGMENT, x.anchor, x.whole, k[a + x.text], th[a + x.text], x.packed())
+
+
+def _within(schema: pa.Schema, rows):
+    """Rows of texts (k, th, t) for the packed places listed with each (x)."""
+
+    def run(batches):
+        for batch in batches:
+            for k, th, t, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                made = rows(t.encode("utf-8", "surrogatepass"), np.unique(np.array(x, np.int64)))
+                n = len(made[0])
+                yield _batch(schema, *made[:-1], np.full(n, k), np.full(n, th), made[-1])
+
+    return run
+
+
+def _first(rows: DataFrame, *by: str) -> DataFrame:
+    """First occurrence (f) and number (n) of each rank."""
+    return rows.groupBy(*by).agg(F.min(F.struct("k", "th", "p")).alias("f"), F.count("*").alias("n"))
+
+
+def _later(rows: DataFrame, firsts: DataFrame, *by: str) -> DataFrame:
+    """Rows that are not the first occurrence of their rank."""
+    return rows.join(firsts.filter("n > 1").select(*by, "f"), list(by)).filter(F.struct("k", "th", "p") > F.col("f"))
+
+
+def _open(firsts: DataFrame, by: list[str]) -> DataFrame:
+    """First occurrences of the ranks that share the shorter rank ``by`` with another, by text."""
+    shared = firsts.groupBy(*by).agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    return firsts.join(shared, by, "left_semi").select("f.k", "f.th", "f.p")
+
+
+def _spans(rows: DataFrame, start, count) -> DataFrame:
+    return rows.select("k", "th", start.cast("int").alias("s"), (start + count + (LENGTH - 1)).cast("int").alias("e"))
+
+
+def _cut(text: bytes, spans: list) -> tuple[int, int, bytes]:
+    """Removed bytes, maximal runs of them, and what is left."""
+    removed = runs = 0
+    kept, at = [], 0
+    for s, e in sorted(spans):
+        if e <= at and runs:
+            continue
+        if s > at or not runs:
+            kept.append(text[at:s])
+            runs += 1
+            at = s
+        removed += e - at
+        at = e
+    kept.append(text[at:])
+    return removed, runs, b"".join(kept)
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """k, th, s, e: byte spans of the texts (k, th, t) that repeats cover."""
+    spark = docs.sparkSession
+    step = lambda df, label: (materialize(df, label), release(spark))[0]
+
+    grams = docs.select("t").mapInArrow(_anchors_of, _ddl(_longs("h")))
+    shared = step(grams.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "ranks")
+    segments = step(docs.select("k", "th", "t").mapInArrow(_segments_of, _ddl(_SEGMENT)).join(shared, "h"), "segments")
+    forget(shared)
+    whole = step(_first(segments, "h", "s"), "wholes")
+    start, count = F.shiftright("p", 14), F.shiftright("p", 7).bitwiseAND(127)
+    spans = [step(_spans(_later(segments, whole, "h", "s"), start, count), "spans")]
+    forget(segments)
+
+    listed = lambda places: places.groupBy("k", "th").agg(F.collect_list("p").alias("x"))
+    within = lambda places: docs.join(listed(places), ["k", "th"]).select("k", "th", "t", "x")
+    todo = step(_open(whole, ["h"]), "open")
+    forget(whole)
+    cut = step(within(todo).mapInArrow(_within(_BLOCK, block_rows), _ddl(_BLOCK)), "blocks")
+    forget(todo)
+    parts = step(_first(cut, "g", "c", "b"), "parts")
+    start, count = F.shiftright("p", 7), F.col("p").bitwiseAND(127)
+    spans.append(step(_spans(_later(cut, parts, "g", "c", "b"), start, count), "spans"))
+    forget(cut)
+
+    todo = step(_open(parts, ["g", "c"]), "open")
+    forget(parts)
+    ranked = step(within(todo).mapInArrow(_within(_WINDOW, window_rows), _ddl(_WINDOW)), "windows")
+    forget(todo)
+    firsts = step(_first(ranked, "w"), "firsts")
+    spans.append(step(_spans(_later(ranked, firsts, "w"), F.col("p"), F.lit(1)), "spans"))
+    for x in (ranked, firsts):
+        forget(x)
+    return spans[0].union(spans[1]).union(spans[2])
+
+
+RESULT = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: binary>"
+
+
+def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    rows = []
+    for t, x in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+        raw = t.encode("utf-8", "surrogatepass")
+        removed, runs, kept = _cut(raw, [(y["s"], y["e"]) for y in x or []])
+        rows.append({"n_bytes": len(raw), "n_removed": removed, "n_spans": runs, "kept": kept})
+    return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, n_bytes, n_removed, n_spans and kept (bytes left) of every row.
+
+    Removed is every byte under a string of LENGTH bytes that also starts earlier: in a smaller id, or earlier in the same
+    text. Null texts are empty; a null id is the smallest; rows that share an id but not the text are ordered by a hash of
+    the text; identical rows (id and text) count once and give equal results; an empty table gives no rows; other columns
+    are ignored, whatever their names.
+    """
+    small_batches(docs.sparkSession)
+    base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = base.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("k"), F.xxhash64("t").alias("th"), "t")
+    spans = repeated_spans(rows.select("k", "th", "t"))
+    found = spans.groupBy("k", "th").agg(F.collect_set(F.struct("s", "e")).alias("x"))
+    done = rows.join(found, ["k", "th"], "left").select("id", F.arrow_udf(_kept, RESULT)("t", "x").alias("r"))
+    return done.select(F.col("id").alias(doc_id), "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept")

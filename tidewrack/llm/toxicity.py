@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import bounded_sample, codes, id_bucket, ngram_hashes, per_worker, training_texts
+from tidewrack.llm.common import bounded_sample, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
 
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 40_000_000
 SIZES, BITS = (3, 4, 5, 6), 20
@@ -127,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def score(spark, model: Model, text: Column) -> Column:
     """Score of a text column, 0 to 1; null counts as empty."""
+    small_batches(spark)
     shared, key = spark.sparkContext.broadcast(model), f"toxicity-{uuid.uuid4().hex}"
 
     def run(texts: pa.Array) -> pa.Array:
