@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.common import bounded_sample, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
 
-TRAIN_ROWS, TRAIN_CHARS = 16_000, 40_000_000
+TRAIN_ROWS, TRAIN_CHARS = 12_000, 30_000_000
 SIZES, BITS = (3,), 14
 SMOOTHING = 0.5
 #: Steps of expectation-maximisation at most, the change of shares at which it ends, and the least share kept.
 STEPS, CHANGE, LEAST_SHARE = 40, 1e-4, 1e-3
-CHUNK = 1_000_000
+CHUNK = 200_000
 FOLDS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 RESULT = "struct<lang: string, share: double, langs: array<string>, shares: array<double>>"

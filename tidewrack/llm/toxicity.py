@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.common import bounded_sample, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
 
-TRAIN_ROWS, TRAIN_CHARS = 12_000, 40_000_000
+TRAIN_ROWS, TRAIN_CHARS = 10_000, 30_000_000
 SIZES, BITS = (3, 4, 5, 6), 20
-#: Features kept, least number of training texts that hold one, and weight of the squared norm.
-KEPT, LEAST_TEXTS, RIDGE = 1 << 15, 4, 1e-3
+#: Features kept, their occurrences in training texts, least number of texts that hold one, weight of the squared norm.
+KEPT, MOST_HITS, LEAST_TEXTS, RIDGE = 1 << 15, 2_000_000, 4, 1e-3
 #: Characters taken at a time.
-CHUNK = 1_000_000
+CHUNK = 200_000
 FOLDS = 5
 
 
@@ -57,40 +57,48 @@ def chunks(texts: list[str]):
         yield batch
 
 
-def _present(texts: list[str]):
-    """(text number, bucket) of every n-gram that a text holds, chunk by chunk; sizes share the buckets."""
+def _grams(texts: list[str]):
+    """Number of each text and its n-grams of one size, repeats included."""
     done = 0
     for batch in chunks(texts):
         chars, starts = codes(batch, "isalnum")
-        where = np.searchsorted(starts, np.arange(len(chars)), "right") - 1
         for x in ngram_hashes(chars, starts, SIZES, BITS):
-            key = np.unique(where[: len(x)] << BITS | x)
-            key = key[(key & ((1 << BITS) - 1)) > 0]
-            yield done + (key >> BITS), key & ((1 << BITS) - 1)
+            for k in range(len(batch)):
+                yield done + k, x[starts[k] : starts[k + 1]]
         done += len(batch)
 
 
+def _document_counts(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Texts of either label that hold each n-gram. Of equal n-grams the one whose mark is left last counts."""
+    seen, mark = np.zeros((2, 1 << BITS)), np.zeros(1 << BITS, np.int32)
+    for doc, x in _grams(texts):
+        here = np.arange(len(x), dtype=np.int32)
+        mark[x] = here
+        seen[int(toxic[doc]), x[mark[x] == here]] += 1
+    seen[:, 0] = 0
+    return seen
+
+
 def fit(texts: list[str], toxic: np.ndarray) -> Model:
     """Without both labels, every score is the share of toxic texts (0.5 without any text)."""
     toxic = np.asarray(toxic, np.float64)
     if not len(toxic) or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(toxic) else 0.5
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    seen = np.zeros((2, 1 << BITS))
-    for doc, x in _present(texts):
-        for k in (0, 1):
-            seen[k] += np.bincount(x[toxic[doc] == k], minlength=1 << BITS)
+    seen = _document_counts(texts, toxic)
     n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
     ratio = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
     ratio[seen.sum(0) < LEAST_TEXTS] = 0
     spread = np.abs(ratio) * np.sqrt(seen.sum(0))
     kept = np.argsort(-spread, kind="stable")[:KEPT]
-    kept = kept[spread[kept] > 0]
-    place = np.full(1 << BITS, -1)
+    kept = kept[(spread[kept] > 0) & (np.cumsum(seen.sum(0)[kept]) <= MOST_HITS)]
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    parts = [(doc[place[x] >= 0], place[x[place[x] >= 0]]) for doc, x in _present(texts)]
-    doc, feature = np.concatenate([d for d, _ in parts]), np.concatenate([f for _, f in parts])
-    value = ratio[kept][feature]
+    hits = [(doc, np.unique(place[x[place[x] >= 0]])) for doc, x in _grams(texts)]
+    doc = np.repeat(np.array([d for d, _ in hits], np.int32), [len(f) for _, f in hits])
+    feature = np.concatenate([f for _, f in hits]).astype(np.int32)
+    del hits
+    value = ratio[kept].astype(np.float32)[feature]
     weight = np.where(toxic == 1, len(toxic) / (2 * n[1]), len(toxic) / (2 * n[0])) / len(toxic)
     beta, bias = _descend(doc, feature, value, toxic, weight, len(kept))
     out = np.zeros(1 << BITS, np.float32)
@@ -98,7 +106,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(out, bias)
 
 
-def _descend(doc, feature, value, label, weight, n: int, steps: int = 150) -> tuple[np.ndarray, float]:
+def _descend(doc, feature, value, label, weight, n: int, steps: int = 120) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression by accelerated gradient steps with adaptive scales."""
     beta, bias = np.zeros(n), 0.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
