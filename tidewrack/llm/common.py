@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        home = Path(__file__).resolve().parents[1]
+        name = Path(tempfile.mkdtemp(prefix="tidewrack-")) / "tidewrack.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f"{home.name}/{f.relative_to(home)}")
+        context.addPyFile(str(name))
+        _SHIPPED.add(context.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send at most so many texts at a time to Python workers, unless the session asks for less: batches are counted in
     rows, and texts are long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, str(rows))

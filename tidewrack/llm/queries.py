@@ -46,6 +46,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewrack.llm.jaccard_join import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewrack.llm.suffix_dedup import remove_repeats
 
@@ -147,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_bpe": op2_bpe,
         "op3_fingerprints": op3_fingerprints,
+        "op4_similar": op4_similar,
         "op5_repeats": op5_repeats,
         "op6_decontamination": op6_decontamination,
         "op7_secrets": op7_secrets,

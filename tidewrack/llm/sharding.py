@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewrack.llm.common import ship
+
 #: Multiplier of the 64-bit linear congruential generator in the published algorithm.
 LCG = np.uint64(2862933555777941757)
 #: Rows aimed at in each ranking group.
@@ -57,6 +59,7 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", text: str = "text", shar
     Slots: rows of a shard are dealt over hash groups of the key, ranked in each group, and lifted by the sizes of the
     groups before, so that no task ranks a whole shard.
     """
+    ship(rows.sparkSession)
     text_bytes = F.coalesce(F.col(text), F.lit("")).cast("binary")
     narrow = rows.select(
         F.col(key).alias("k"),
