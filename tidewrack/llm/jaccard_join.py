@@ -330,3 +330,23 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     with_class = known.select("k", "th", "v").join(final, "v").select("k", "th", "class_id", "node", "n_links")
     alone = rows.filter("n = 0").select("k", "th", F.col("k").alias("class_id"), F.lit(None).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("n_links"))
     return with_class.union(alone).select(F.col("k").alias(doc_id), "th", "class_id", F.col("node").alias("class_node"), "n_links")
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, the one of the least id (then of the least hash of the text), with all its columns.
+
+    Of rows that agree in id and text one stays. Rows of a null id in a class of their own stay.
+    """
+    spark = docs.sparkSession
+    found = similar_documents(docs.select(F.col(doc_id), F.col(text)), doc_id, text)
+    classes = materialize(found.select(F.col(doc_id).cast("bigint").alias("k"), "th", "class_node"), "members")
+    best = classes.filter("class_node IS NOT NULL").groupBy("class_node").agg(F.min(F.struct(F.col("k").isNull().alias("z"), "k", "th")).alias("f")).select("f.k", "f.th")
+    alone = classes.filter("class_node IS NULL").select("k", "th")
+    keep = materialize(best.union(alone).distinct().select(F.coalesce("k", F.lit(-(2**63))).alias("__k"), F.col("th").alias("__th")), "keep")
+    repeated = not classes.groupBy("k", "th").count().filter("count > 1").isEmpty()
+    release(spark)
+    marked = docs.withColumn("__k", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-(2**63)))).withColumn("__th", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = marked.join(keep, ["__k", "__th"], "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["__k", "__th"])
+    return kept.drop("__k", "__th")
