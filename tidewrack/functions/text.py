@@ -141,7 +141,7 @@ def unit(c: Column) -> Column:
 
 def listed(c: Column, separator: str = ",") -> Column:
     """Parts, trimmed, without blank ones and ``(empty)``."""
-    parts = F.transform(F.split(c, rf"[{separator}]"), F.trim)
+    parts = F.transform(F.split(c, rf"[{separator}]"), lambda x: F.trim(x))
     return F.filter(parts, lambda t: ~t.isin("", "(empty)"))
 
 
@@ -164,7 +164,7 @@ def alias(c: Column, target: Column) -> Column:
 def environment_labels(labels: Column, valid: list[str] | None = None, other: str = K.OTHER_ENVIRONMENT) -> Column:
     """Valid labels in order, once each; ``other`` goes if a target label stays."""
     targets = valid or K.ENVIRONMENTS
-    kept = F.array_distinct(F.filter(F.transform(labels, F.trim), lambda x: x.isin(*targets, other)))
+    kept = F.array_distinct(F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x.isin(*targets, other)))
     return F.when(F.size(F.array_remove(kept, other)) > 0, F.array_remove(kept, other)).otherwise(kept)
 
 

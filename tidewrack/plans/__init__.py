@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
-    from tidewrack.plans import profiles, rankings
+    from tidewrack.plans import joins, profiles, rankings, scalars
 
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (profiles, rankings):
+    for module in (profiles, rankings, scalars, joins):
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql

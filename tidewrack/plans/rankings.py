@@ -129,7 +129,7 @@ SQL = {
     "w9_top_tokens": "SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS token FROM documents) GROUP BY token ORDER BY df DESC, token LIMIT 100",
     "w10_zipf": "WITH f AS (SELECT token, count(*) AS f FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS token FROM documents) GROUP BY token), g AS (SELECT f, count(*) AS n_tokens FROM f GROUP BY f) SELECT f, n_tokens, CAST(sum(n_tokens) OVER (ORDER BY f DESC) - n_tokens + 1 AS BIGINT) AS first_rank FROM g",
     "w13_chunks": "SELECT p_type, p_partkey, rn, CAST(floor((rn - 1) / 80) AS INT) AS chunk, CAST(ceil(n / 80) AS INT) AS n_chunks FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_name, p_partkey) AS rn, count(*) OVER (PARTITION BY p_type) AS n FROM part)",
-    "x12_capped_listing": "WITH a AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS rn FROM part), b AS (SELECT *, row_number() OVER (ORDER BY p_brand, rn) AS pos FROM a WHERE rn <= 30) SELECT p_brand, p_partkey, pos AS "at" FROM b WHERE pos <= 400",
+    "x12_capped_listing": "WITH a AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS rn FROM part), b AS (SELECT *, row_number() OVER (ORDER BY p_brand, rn) AS pos FROM a WHERE rn <= 30) SELECT p_brand, p_partkey, pos AS \"at\" FROM b WHERE pos <= 400",
     "x13_batches": "WITH a AS (SELECT *, (row_number() OVER (ORDER BY p_name, p_partkey) - 1) // 60 AS batch FROM part) SELECT batch, count(*) AS n, min(p_name) AS first, max(p_name) AS last FROM a GROUP BY batch",
     "sm1_stratified": "SELECT c_mktsegment, c_nationkey, least(count(*), 3) AS n FROM customer GROUP BY ALL",
     "st4_next_round": "SELECT CAST(0 AS BIGINT) AS n_both, CAST(sum(least(greatest(n - 20, 0), 20)) AS BIGINT) AS n_second FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)",
