@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
-    from tidewrack.plans import joins, profiles, rankings, scalars
+    from tidewrack.plans import graphs, joins, profiles, rankings, scalars, semistructured
 
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (profiles, rankings, scalars, joins):
+    for module in (profiles, rankings, scalars, joins, graphs, semistructured):
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql
