@@ -200,7 +200,7 @@ def decompose(key: Column) -> Column:
             s = F.transform(F.array(s), step)[0]
         return s
 
-    suffix = lambda tag, words, keep: lambda s: strip(s, tag, rf"^(.*)_({words})$", 1, 2, keep)
+    suffix = lambda tag, words, keep: lambda s: strip(s, tag, rf"^(.*?)_({words})$", 1, 2, keep)
     prefix = lambda tag, words: lambda s: strip(s, tag, rf"^({words})_(.*)$", 2, 1)
     units = alternatives(K.UNIT_SUFFIXES)
     steps = [suffix("replicate", r"\d{1,2}", True), suffix("stat", alternatives(K.STAT_SUFFIXES), True), suffix("qualifier", alternatives(K.QUALIFIER_SUFFIXES), True), suffix("unit", units, True), suffix("unit", units, False)]

@@ -54,11 +54,11 @@ def _decompose_sql() -> str:
         ctes.append(f"s{n + 1} AS (SELECT p_partkey, CASE WHEN {ok} THEN {left} ELSE root END AS root, {cols} FROM s{n})")
         n += 1
 
-    step("replicate", r"^(.*)_(\d{1,2})$", 1, 2)
-    step("stat", f"^(.*)_({alt(K.STAT_SUFFIXES)})$", 1, 2)
-    step("qualifier", f"^(.*)_({alt(K.QUALIFIER_SUFFIXES)})$", 1, 2)
-    step("unit", f"^(.*)_({alt(K.UNIT_SUFFIXES)})$", 1, 2)
-    step("unit", f"^(.*)_({alt(K.UNIT_SUFFIXES)})$", 1, 2, False)
+    step("replicate", r"^(.*?)_(\d{1,2})$", 1, 2)
+    step("stat", f"^(.*?)_({alt(K.STAT_SUFFIXES)})$", 1, 2)
+    step("qualifier", f"^(.*?)_({alt(K.QUALIFIER_SUFFIXES)})$", 1, 2)
+    step("unit", f"^(.*?)_({alt(K.UNIT_SUFFIXES)})$", 1, 2)
+    step("unit", f"^(.*?)_({alt(K.UNIT_SUFFIXES)})$", 1, 2, False)
     for _ in range(4):
         for tag, words in (("stat", K.STAT_PREFIXES), ("aggregation", K.AGGREGATION_PREFIXES), ("isotope", K.ISOTOPES), ("taxon", K.TAXA)):
             step(tag, f"^({alt(words)})_(.*)$", 2, 1)
