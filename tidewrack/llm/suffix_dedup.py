@@ -192,23 +192,6 @@ def _spans(rows: DataFrame, start, count) -> DataFrame:
     return rows.select("k", "th", start.cast("int").alias("s"), (start + count + (LENGTH - 1)).cast("int").alias("e"))
 
 
-def _cut(text: bytes, spans: list) -> tuple[int, int, bytes]:
-    """Removed bytes, maximal runs of them, and what is left."""
-    removed = runs = 0
-    kept, at = [], 0
-    for s, e in sorted(spans):
-        if e <= at and runs:
-            continue
-        if s > at or not runs:
-            kept.append(text[at:s])
-            runs += 1
-            at = s
-        removed += e - at
-        at = e
-    kept.append(text[at:])
-    return removed, runs, b"".join(kept)
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """k, th, s, e: byte spans of the texts (k, th, t) that repeats cover."""
     spark = docs.sparkSession
@@ -249,12 +232,23 @@ RESULT = "struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept: bina
 
 
 def _kept(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    rows = []
-    for t, x in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        raw = t.encode("utf-8", "surrogatepass")
-        removed, runs, kept = _cut(raw, [(y["s"], y["e"]) for y in x or []])
-        rows.append({"n_bytes": len(raw), "n_removed": removed, "n_spans": runs, "kept": kept})
-    return pa.array(rows, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())]))
+    """Removed bytes, maximal runs of them, and what is left of each text; spans may overlap."""
+    data, offsets = string_buffers(texts)
+    counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    pair_ = spans.flatten()
+    s, e = (pair_.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    first = offsets[0]
+    base = np.repeat(offsets[:-1] - first, counts)
+    total = int(offsets[-1] - first)
+    gone = np.cumsum(np.bincount(base + s, minlength=total + 1) - np.bincount(base + e, minlength=total + 1))[:total] > 0
+    begin = gone.copy()
+    begin[1:] &= ~gone[:-1]
+    starts = (offsets[:-1] - first)[offsets[1:] > offsets[:-1]]
+    begin[starts] = gone[starts]
+    upto = lambda x: np.concatenate([[0], np.cumsum(x)])[offsets - first]
+    left = upto(~gone)
+    kept = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(left.astype(np.int32).tobytes()), pa.py_buffer(data[first : first + total][~gone].tobytes())])
+    return pa.StructArray.from_arrays([pa.array(np.diff(offsets)), pa.array(np.diff(upto(gone))), pa.array(np.diff(upto(begin))), kept], ["n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,6 +263,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     base = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = base.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("k"), F.xxhash64("t").alias("th"), "t")
     spans = repeated_spans(rows.select("k", "th", "t"))
-    found = spans.groupBy("k", "th").agg(F.collect_set(F.struct("s", "e")).alias("x"))
+    found = spans.groupBy("k", "th").agg(F.collect_list(F.struct("s", "e")).alias("x"))
     done = rows.join(found, ["k", "th"], "left").select("id", F.arrow_udf(_kept, RESULT)("t", "x").alias("r"))
     return done.select(F.col("id").alias(doc_id), "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept")
