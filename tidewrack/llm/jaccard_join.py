@@ -27,8 +27,9 @@ from tidewrack.llm.decontamination import _Words
 
 SHINGLE, SIMILARITY = 5, (4, 5)
 SIZE, DEPTH, RECALL = 128, 3, 0.999
-#: Sets compared by brute force in one bucket; members of one block; members that all blocks of a bucket share.
-SMALL, MEMBERS, SHARED = 512, 1024, 64
+#: Sets compared by brute force in one bucket; sets in a block of a large bucket; sets that all its blocks share; sets in a
+#: block of a component whose pairs are computed exactly.
+SMALL, BLOCK, SHARED, MEMBERS = 512, 1024, 64, 128
 #: Agreement of sketches from which a pair is looked at exactly: four standard deviations below the threshold.
 THRESHOLD = SIMILARITY[0] / SIMILARITY[1]
 MAYBE = math.floor(SIZE * (THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SIZE)))
@@ -216,7 +217,7 @@ def meetings(nodes: DataFrame) -> DataFrame:
         forget(sizes)
         last = depth == DEPTH - 1
         leaves = live if last else live.filter(F.col("size") <= SMALL)
-        dealt = _with_blocks(leaves, "size", SMALL if not last else MEMBERS).select("path", "block", "v")
+        dealt = _with_blocks(leaves, "size", SMALL if not last else BLOCK).select("path", "block", "v")
         sorted_ = dealt.join(nodes.select("v", "mh"), "v").select("path", "block", "v", "mh").repartition("path", "block").sortWithinPartitions("path", "block")
         found = materialize(sorted_.mapInArrow(_met, "a bigint, b bigint").distinct(), "met")
         release(spark)
