@@ -68,7 +68,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     ids = base.filter("k IS NOT NULL").groupBy("k").agg(F.max(F.floor(F.length("t") / 3)).cast("int").alias("need"))
     links = materialize(next_ids(ids), "next")
 
-    counts = marked.groupBy("fp").count().filter("count > 1").select("fp")
+    counts = materialize(marked.groupBy("fp").count().filter("count > 1").select("fp"), "shared")
     repeated = materialize(known.select("k", "fp").join(counts, "fp", "left_semi").select("k").distinct(), "repeated")
     texts = by_id.join(repeated, "k", "left_semi").select("fp", canonical(F.col("t")).alias("c"))
     clashes = colliding(texts).agg(F.collect_set("fp")).scalar()
