@@ -30,26 +30,36 @@ LENGTH, GRAM, BLOCK = 100, 32, 8
 CORE = LENGTH - BLOCK + 1
 SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 16
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Odd multipliers of the rounds of doubling, by the length that is doubled; of overlapping pairs (0), and of mixing.
+_ROUND = {k: np.uint64(m) for k, m in zip((0, 1, 2, 4, 8, 16, 32), (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x87C37B91114253D5), strict=True)}
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 
 
-def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def pair(left: np.ndarray, right: np.ndarray, round_: int = 0) -> np.ndarray:
     """Rank of a string from the ranks of two strings that make it up (they may overlap)."""
-    h = left * _A
+    h = left * _ROUND[round_]
     h += right
-    h ^= h >> np.uint64(32)
-    h *= _B
     return h
 
 
-def ranks(data: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks of 32 and 64 bytes at every position where so many follow."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Ranks whose order and low bits are as good as random."""
+    h = h ^ (h >> np.uint64(32))
+    h *= _MIX
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def ranks(data: np.ndarray, longest: int = 64) -> dict[int, np.ndarray]:
+    """Ranks of 32 (mixed) and 64 bytes at every position where so many follow: every round doubles the length."""
     rank, out = _BYTE[data], {}
     for k in (1, 2, 4, 8, 16, 32):
-        rank = pair(rank[:-k], rank[k:])
-        if k >= 16:
-            out[2 * k] = rank
+        if 2 * k <= longest:
+            rank = pair(rank[:-k], rank[k:], k)
+            if k >= 16:
+                out[2 * k] = rank
+    out[GRAM] = mixed(out[GRAM])
     return out
 
 
@@ -59,7 +69,7 @@ def anchors(grams: np.ndarray) -> np.ndarray:
     while width < SPAN:
         step = min(width, SPAN - width)
         right = least[step:] < least[:-step]
-        least = np.where(right, least[step:], least[:-step])
+        least = np.minimum(least[step:], least[:-step])
         at = np.where(right, at[step:], at[:-step])
         width += step
     return at
@@ -69,13 +79,13 @@ class Segments:
     """Segments of neighbouring texts: text number, first window, number of windows, place of the anchor in the first
     window, rank of the anchor and of the whole."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, anchors_only: bool = False) -> None:
         first, n = int(offsets[0]), int(offsets[-1] - offsets[0])
         if n < LENGTH:
             self.text = self.start = self.count = self.inside = np.zeros(0, np.int64)
             self.anchor = self.whole = np.zeros(0, np.uint64)
             return
-        rank = ranks(data[first : first + n])
+        rank = ranks(data[first : first + n], GRAM if anchors_only else 64)
         at = anchors(rank[GRAM])
         starts, ends = offsets[:-1] - first, offsets[1:] - first
         ok = np.ones(len(at), bool)
@@ -83,12 +93,15 @@ class Segments:
             ok[max(0, e - LENGTH + 1) : e] = False
         begin, stop, moved = ok.copy(), ok.copy(), at[1:] != at[:-1]
         begin[1:] &= ~ok[:-1] | moved
+        s = np.flatnonzero(begin)
+        self.anchor = rank[GRAM][at[s]]
+        if anchors_only:
+            return
         stop[:-1] &= ~ok[1:] | moved
-        s, e = np.flatnonzero(begin), np.flatnonzero(stop)
+        e = np.flatnonzero(stop)
         self.text = np.searchsorted(starts, s, "right") - 1
         self.start, self.count, self.inside = s - starts[self.text], e - s + 1, at[s] - s
-        self.anchor = rank[GRAM][at[s]]
-        self.whole = pair(windows(rank, s), windows(rank, e)) ^ (self.count.astype(np.uint64) * _B)
+        self.whole = mixed(pair(windows(rank, s), windows(rank, e)) + self.count.astype(np.uint64) * _MIX)
 
     def packed(self) -> np.ndarray:
         return self.start << 14 | self.count << 7 | self.inside
@@ -96,7 +109,7 @@ class Segments:
 
 def windows(rank: dict[int, np.ndarray], at: np.ndarray) -> np.ndarray:
     """Ranks of LENGTH bytes at positions."""
-    return pair(rank[64][at], rank[64][at + LENGTH - 64])
+    return mixed(pair(rank[64][at], rank[64][at + LENGTH - 64]))
 
 
 def block_rows(text: bytes, packed: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -111,9 +124,9 @@ def block_rows(text: bytes, packed: np.ndarray) -> tuple[np.ndarray, ...]:
     j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[seg]
     a = anchor[seg]
     near, far = np.maximum(j * BLOCK, a - (start + count - 1)[seg]), np.minimum(j * BLOCK + BLOCK - 1, inside[seg])
-    core = pair(rank[64][a - j * BLOCK], rank[64][a - j * BLOCK + CORE - 64])
-    whole = pair(windows(rank, a - far), windows(rank, a - near)) ^ ((near << 8 | far).astype(np.uint64) * _B)
-    group = pair(rank[GRAM][a], j.astype(np.uint64))
+    core = mixed(pair(rank[64][a - j * BLOCK], rank[64][a - j * BLOCK + CORE - 64]))
+    whole = mixed(pair(windows(rank, a - far), windows(rank, a - near)) + (near << 8 | far).astype(np.uint64) * _MIX)
+    group = mixed(pair(rank[GRAM][a], j.astype(np.uint64)))
     return group, core, whole, (a - far) << 7 | (far - near + 1)
 
 
@@ -147,7 +160,7 @@ def _anchors_of(batches):
     for batch in batches:
         data, offsets = string_buffers(batch.column(0))
         for a, b in blocks(offsets, CHUNK):
-            yield _batch(_longs("h"), Segments(data, offsets[a : b + 1]).anchor)
+            yield _batch(_longs("h"), Segments(data, offsets[a : b + 1], True).anchor)
 
 
 def _segments_of(batches):
@@ -199,7 +212,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     grams = docs.select("t").mapInArrow(_anchors_of, _ddl(_longs("h")))
     shared = step(grams.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "ranks")
-    segments = step(docs.select("k", "th", "t").mapInArrow(_segments_of, _ddl(_SEGMENT)).join(shared, "h"), "segments")
+    segments = step(docs.select("k", "th", "t").mapInArrow(_segments_of, _ddl(_SEGMENT)).join(shared.hint("shuffle_hash"), "h"), "segments")
     forget(shared)
     whole = step(_first(segments, "h", "s"), "wholes")
     start, count = F.shiftright("p", 14), F.shiftright("p", 7).bitwiseAND(127)
@@ -207,7 +220,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     forget(segments)
 
     listed = lambda places: places.groupBy("k", "th").agg(F.collect_list("p").alias("x"))
-    within = lambda places: docs.join(listed(places), ["k", "th"]).select("k", "th", "t", "x")
+    within = lambda places: docs.join(listed(places).hint("shuffle_hash"), ["k", "th"]).select("k", "th", "t", "x")
     todo = step(_open(whole, ["h"]), "open")
     forget(whole)
     cut = step(within(todo).mapInArrow(_within(_BLOCK, block_rows), _ddl(_BLOCK)), "blocks")
@@ -264,5 +277,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = base.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("k"), F.xxhash64("t").alias("th"), "t")
     spans = repeated_spans(rows.select("k", "th", "t"))
     found = spans.groupBy("k", "th").agg(F.collect_list(F.struct("s", "e")).alias("x"))
-    done = rows.join(found, ["k", "th"], "left").select("id", F.arrow_udf(_kept, RESULT)("t", "x").alias("r"))
+    done = rows.join(found.hint("shuffle_hash"), ["k", "th"], "left").select("id", F.arrow_udf(_kept, RESULT)("t", "x").alias("r"))
     return done.select(F.col("id").alias(doc_id), "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept")
