@@ -29,7 +29,7 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 SIZE, DEPTH, RECALL = 128, 3, 0.999
 #: Sets compared by brute force in one bucket; sets in a block of a large bucket; sets that all its blocks share; sets in a
 #: block of a component whose pairs are computed exactly.
-SMALL, BLOCK, SHARED, MEMBERS = 512, 1024, 64, 128
+SMALL, BLOCK, SHARED, MEMBERS = 128, 256, 32, 128
 #: Agreement of sketches from which a pair is looked at exactly: four standard deviations below the threshold.
 THRESHOLD = SIMILARITY[0] / SIMILARITY[1]
 MAYBE = math.floor(SIZE * (THRESHOLD - 4 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SIZE)))
