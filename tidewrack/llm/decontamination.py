@@ -145,15 +145,18 @@ class WindowSet:
 HITS = "struct<n_words: bigint, n_hit: bigint, item_ids: array<string>, hit_bytes: array<bigint>>"
 
 
-def _merge(a: Column, b: Column) -> Column:
+def _merged(own: pa.Array, prior: pa.Array) -> pa.Array:
     """Hits of two blocks of items: words hit by either count once."""
-    pairs = lambda x: F.transform(F.sequence(F.lit(0), (F.size(x) / 2).cast("int") - 1), lambda i: F.struct(x[i * 2].alias("s"), x[i * 2 + 1].alias("e")))
-    words = lambda x: F.when(F.size(x) > 0, pairs(x)).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
-    both = F.array_union(words(a["hit_bytes"]), words(b["hit_bytes"]))
-    return F.struct(
-        a["n_words"].alias("n_words"), F.size(both).cast("bigint").alias("n_hit"),
-        F.array_union(a["item_ids"], b["item_ids"]).alias("item_ids"),
-        F.flatten(F.transform(both, lambda p: F.array(p["s"], p["e"]))).alias("hit_bytes"),
+    n_words, n_hit, ids, spans = (own.field(i) for i in range(4))
+    rows = []
+    for a, b, x, y in zip(ids.to_pylist(), prior.field(2).to_pylist(), spans.to_pylist(), prior.field(3).to_pylist(), strict=True):
+        if x and y:
+            pairs = sorted({*zip(x[::2], x[1::2], strict=True), *zip(y[::2], y[1::2], strict=True)})
+            x, y = [v for p in pairs for v in p], []
+        rows.append((sorted({*a, *b}), x or y))
+    return pa.StructArray.from_arrays(
+        [n_words, pa.array([len(x) // 2 for _, x in rows], pa.int64()), pa.array([a for a, _ in rows], pa.list_(pa.string())), pa.array([x for _, x in rows], pa.list_(pa.int64()))],
+        ["n_words", "n_hit", "item_ids", "hit_bytes"],
     )
 
 
@@ -181,20 +184,23 @@ def benchmark_hits(spark, benchmark: DataFrame, text: Column, item_id: str = "it
     Null and word-less texts have no words and no hits; null items have no windows; repeated items count once by id.
     """
     small_batches(spark)
-    merged = None
+    hits = None
     for block in item_blocks(benchmark, item_id, item_text, block_bytes):
-        hits = _scanner(spark.sparkContext.broadcast(block), window)(text)
-        merged = hits if merged is None else _merge(merged, hits)
-    return merged
+        scan = _scanner(spark.sparkContext.broadcast(block), window, hits is not None)
+        hits = scan(text) if hits is None else scan(text, hits)
+    return hits
 
 
-def _scanner(shared, window: int):
+def _scanner(shared, window: int, more: bool):
     key = f"windows-{uuid.uuid4().hex}"
 
     def scan(texts: pa.Array) -> pa.Array:
         return per_worker(key, lambda: WindowSet(shared.value, window)).scan(texts)
 
-    return F.arrow_udf(scan, HITS)
+    def scan_more(texts: pa.Array, prior: pa.Array) -> pa.Array:
+        return _merged(scan(texts), prior)
+
+    return F.arrow_udf(scan_more if more else scan, HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -104,25 +104,25 @@ def _battery(x: Column) -> Column:
 
 
 def scan_columns(docs: DataFrame, text: str) -> DataFrame:
-    """Adds base (base spans) and tested (tokens outside base spans: start, end, length class, bin) to the rows."""
+    """Adds __base (base spans) and __tested (tokens outside base spans: start, end, length class, bin) to the rows."""
     t = F.coalesce(F.col(text), F.lit(""))
     rules = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
     staged = docs.withColumns({f"__{k}_m": F.regexp_extract_all(t, F.lit(p), F.lit(0)) for k, p in rules.items()})
     some = lambda k: placed(F.col(f"__{k}_m"), F.split(t, rules[k], -1))
     assign = F.filter(some("assign"), lambda x: F.length(F.regexp_extract(x["m"], f"^{ASSIGN}$", 2)) >= LEAST_ASSIGN)
     base = F.array_sort(F.concat(_spans(assign, 0), _spans(some("access"), 1), _spans(some("hex"), 2)))
-    with_base = staged.withColumn("base", base)
-    fresh = F.filter(some("random"), lambda x: ~F.exists(F.col("base"), lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"])))
+    with_base = staged.withColumn("__base", base)
+    fresh = F.filter(some("random"), lambda x: ~F.exists(F.col("__base"), lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"])))
     tested = F.transform(fresh, lambda x: F.struct(
         x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), F.floor(F.log2(F.length(x["m"]).cast("double"))).cast("int").alias("c"),
         F.least(F.lit(MOST_BIN), F.floor(-F.log10(randomness(x["m"])) * BINS).cast("int")).alias("b"),
     ))
-    return with_base.withColumn("tested", tested).drop(*[f"__{k}_m" for k in KINDS])
+    return with_base.withColumn("__tested", tested).drop(*[f"__{k}_m" for k in KINDS])
 
 
 def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """First bin of each length class whose tokens are called not random; reads at most 32 * (MOST_BIN + 1) counts."""
-    rows = scanned.select(F.explode("tested").alias("x")).groupBy("x.c", "x.b").count().collect()
+    rows = scanned.select(F.explode("__tested").alias("x")).groupBy("x.c", "x.b").count().collect()
     out: dict[int, int] = {}
     for c in {r.c for r in rows}:
         bins = sorted(((r.b, r["count"]) for r in rows if r.c == c), reverse=True)
@@ -139,9 +139,9 @@ def _found(limits: dict[int, int]) -> Column:
     """All spans: base ones, and tested tokens that are not certainly not random."""
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else None
     if limit is None:
-        return F.col("base")
-    kept = F.filter("tested", lambda x: x["b"] < F.coalesce(F.element_at(limit, x["c"]), F.lit(MOST_BIN + 1)))
-    return F.array_sort(F.concat("base", F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("r"), x["e"].alias("e")))))
+        return F.col("__base")
+    kept = F.filter("__tested", lambda x: x["b"] < F.coalesce(F.element_at(limit, x["c"]), F.lit(MOST_BIN + 1)))
+    return F.array_sort(F.concat("__base", F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("r"), x["e"].alias("e")))))
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,8 +153,8 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     thresholds depend on all of them.
     """
     rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t"))
-    scanned = materialize(scan_columns(rows, "t").select("k", "base", "tested"), "secrets")
-    return scanned.select(F.col("k").alias(doc_id), "base", _found(thresholds(scanned)).alias("spans"))
+    scanned = materialize(scan_columns(rows, "t").select("k", "__base", "__tested"), "secrets")
+    return scanned.select(F.col("k").alias(doc_id), F.col("__base").alias("base"), _found(thresholds(scanned)).alias("spans"))
 
 
 def named(spans: Column) -> Column:
@@ -166,10 +166,10 @@ def named(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The rows with every span of their text replaced by ``mask``; overlapping spans become one mask. Null stays null."""
     scanned = scan_columns(docs, text)
-    limits = thresholds(scan_columns(docs.select(text), text).select("tested"))
+    limits = thresholds(scan_columns(docs.select(text), text).select("__tested"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(
         x["e"].alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["s"] - acc["at"]), F.when((x["s"] == acc["at"]) & (acc["at"] > 0), F.lit("")).otherwise(F.lit(mask))).alias("out"),
     )).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
     done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return scanned.withColumn("__spans", _found(limits)).withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(F.col(text))).drop("__spans", "base", "tested")
+    return scanned.withColumn("__spans", _found(limits)).withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(F.col(text))).drop("__spans", "__base", "__tested")
