@@ -197,7 +197,7 @@ def _later(rows: DataFrame, firsts: DataFrame, *by: str) -> DataFrame:
 
 def _open(firsts: DataFrame, by: list[str]) -> DataFrame:
     """First occurrences of the ranks that share the shorter rank ``by`` with another, by text."""
-    shared = firsts.groupBy(*by).agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    shared = materialize(firsts.groupBy(*by).agg(F.count("*").alias("m")).filter("m > 1").drop("m"), "shared")
     return firsts.join(shared, by, "left_semi").select("f.k", "f.th", "f.p")
 
 
