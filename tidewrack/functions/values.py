@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewrack.functions.text import unit
 
 RESULT = {"num": "double", "num2": "double", "flag": "boolean", "text": "string", "unit": "string", "kind": "string", "status": "string", "error": "string"}
+#: Patterns of values.
 NUMBER_UNIT = r"^\s*([+-]?\d*\.?\d+(?:[eE][+-]?\d+)?)\s*(.*?)\s*$"
 PAIR = r"^\s*([+-]?\d+\.?\d*)\s*[,/\s]\s*([+-]?\d+\.?\d*)\s*$"
 COMPASS = r"(?i)^\s*(\d+\.?\d*)\s*°?\s*([NS])\s*[,/\s]+\s*(\d+\.?\d*)\s*°?\s*([EW])\s*$"

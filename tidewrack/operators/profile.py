@@ -105,10 +105,10 @@ def enriched(facts: DataFrame, envs: list[str]) -> DataFrame:
     """For each key its papers by environment, enrichment over the mean percentage, one-sided Fisher p-values
     and category. Papers are counted once overall; an environment's papers are those of any key in it."""
     distinct = facts.filter(F.col("env").isin(*envs)).select("key", "env", "paper").distinct()
-    size = distinct.select("env", "paper").distinct().agg(*[F.count_if(F.col("env") == e).alias(f"size_{e}") for e in envs])
-    total = facts.select("paper").distinct().agg(F.count("*").alias("papers_all"))
+    size = distinct.select("env", "paper").distinct().agg(F.struct(*[F.count_if(F.col("env") == e).alias(f"size_{e}") for e in envs]))
+    total = facts.select("paper").distinct().agg(F.count("*"))
     counts = distinct.groupBy("key").agg(*[F.count_if(F.col("env") == e).alias(f"n_{e}") for e in envs])
-    x = counts.crossJoin(F.broadcast(size)).crossJoin(F.broadcast(total))  # two one-row tables
+    x = counts.withColumn("__size", size.scalar()).withColumn("papers_all", total.scalar()).select("*", "__size.*").drop("__size")
     x = x.withColumn("total_papers", reduce(lambda a, b: a + b, [F.col(f"n_{e}") for e in envs]))
     pct = {e: F.when(F.col(f"size_{e}") > 0, 100 * F.col(f"n_{e}") / F.col(f"size_{e}")).otherwise(0.0) for e in envs}
     mean = reduce(lambda a, b: a + b, pct.values()) / len(envs)

@@ -73,8 +73,8 @@ def chunk_numbers(rows: DataFrame, by: str, order: list, size: int = 80) -> Data
 
 def capped_total(rows: DataFrame, group_order: str, order: list, each: int, total: int) -> DataFrame:
     """Up to ``each`` rows of a group and ``total`` in all, in the order of the groups."""
-    few = top(rows, [group_order], order, each)
-    return few.withColumn("at", F.row_number().over(Window.orderBy(group_order, "rn"))).filter(F.col("at") <= total)
+    few = top(rows, [group_order], order, each).orderBy(group_order, "rn").limit(total)
+    return few.withColumn("at", F.row_number().over(Window.orderBy(group_order, "rn")))
 
 
 def batches(rows: DataFrame, order: list, size: int) -> DataFrame:
