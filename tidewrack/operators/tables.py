@@ -51,3 +51,20 @@ def relations(cell_rows: DataFrame, id_: str) -> DataFrame:
     first = lambda r: F.min(F.when(F.col("role") == r, F.col("value")))
     keyed = cell_rows.groupBy(id_, "row_no").agg(F.min(F.when(F.col("role") == "accession", F.regexp_extract("value", K.ACCESSION, 1))).alias("accession"), first("label").alias("label"))
     return cell_rows.filter("role = 'field'").select(id_, "row_no", F.col("name").alias("field"), "value").join(keyed, [id_, "row_no"])
+
+
+def transposed_cells(sections: DataFrame, id_: str, text: str, targets: Column) -> DataFrame:
+    """TP5: the same cells where fields are lines and records are columns."""
+    rows = sections.filter(is_table(F.col(text))).select(id_, F.explode(tabbed(F.col(text))).alias("line")).select(id_, F.split("line", "\t").alias("p"))
+    cell = rows.select(id_, F.trim(F.col("p")[0]).alias("name"), F.posexplode(F.slice("p", 2, 1_000_000_000)).alias("row_no", "value")).withColumn("value", F.trim("value"))
+    return cell.filter(~F.lower("value").isin(*EMPTY_CELLS)).withColumn("role", role(F.col("name"), targets)).select(id_, "row_no", "name", "value", "role")
+
+
+def best_relations(sections: DataFrame, id_: str, text: str, targets: Column) -> DataFrame:
+    """TP3, TP6: relations of each section by the reading that gives more; the upright one on ties."""
+    upright = relations(cells(sections, id_, text, targets), id_).withColumn("turned", F.lit(0))
+    turned = relations(transposed_cells(sections, id_, text, targets), id_).withColumn("turned", F.lit(1))
+    both = upright.unionByName(turned)
+    counts = both.groupBy(id_, "turned").agg(F.count_if(F.col("accession").isNotNull() | F.col("label").isNotNull()).alias("n"))
+    best = counts.groupBy(id_).agg(F.min_by("turned", F.struct(-F.col("n"), F.col("turned"))).alias("turned"))
+    return both.join(best, [id_, "turned"], "left_semi")
