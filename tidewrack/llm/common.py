@@ -194,3 +194,31 @@ def ngram_hashes(chars: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...],
             x[over[(over >= 0) & (over < len(x))]] = 0
             out.append(x)
     return out
+
+
+#: Bits of a membership filter at most (8 MB): beyond it the filter only lets more rows pass that a join then drops.
+FILTER_BITS = 1 << 26
+
+
+def may_hold(keys: DataFrame, *names: str):
+    """A test of bigint columns that is true for all rows of ``keys`` and false for most other rows.
+
+    Rows that fail it need not be shuffled for a join with ``keys``. The filter has one bit for each hash value, at most
+    FILTER_BITS whatever the number of keys, so broadcasting it is bounded.
+    """
+    spark = keys.sparkSession
+    ship(spark)
+    bits = 1 << min((16 * keys.count() + 1024).bit_length(), FILTER_BITS.bit_length() - 1)
+    spot = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(bits).cast("bigint"))
+    words = keys.select(spot(*[F.col(n) for n in names]).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).toArrow()
+    table_ = np.zeros(bits // 64, np.int64)
+    table_[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = spark.sparkContext.broadcast(table_)
+
+    def test(h):
+        at = h.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 > 0)
+
+    test.__annotations__ = {"h": pa.Array, "return": pa.Array}
+    run = F.arrow_udf(test, "boolean")
+    return lambda *columns: run(spot(*columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import blocks, forget, materialize, release, small_batches, string_buffers
+from tidewrack.llm.common import blocks, forget, materialize, may_hold, release, small_batches, string_buffers
 from tidewrack.llm.components import components
 from tidewrack.llm.decontamination import _Words
 
@@ -85,25 +85,27 @@ def name_of(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-SKETCHES = "k bigint, th bigint, v bigint, n int, mh binary"
+SKETCHES = "k bigint, th bigint, v bigint, n int, mh binary, sk binary"
 
 
 def _sketches(batches):
-    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("mh", pa.binary())])
+    schema = pa.schema([("k", pa.int64()), ("th", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("mh", pa.binary()), ("sk", pa.binary())])
     for batch in batches:
         data, offsets = string_buffers(batch.column(2))
         for a, b in blocks(offsets, CHUNK):
             sets = shingle_sets(data, offsets[a : b + 1])
             full = [s for s in sets if len(s)]
-            made = iter(sketch(full)) if full else iter(())
+            made = sketch(full) if full else np.zeros((0, SIZE), np.uint32)
+            at = np.cumsum([len(s) > 0 for s in sets]) - 1
+            small = (made & np.uint32(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([name_of(s) for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int32()), pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
+                pa.array([len(s) for s in sets], pa.int32()), *(pa.array([m[i].tobytes() if len(s) else None for s, i in zip(sets, at, strict=True)], pa.binary()) for m in (made, small)),
             ], schema=schema)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SIZE)
+def _matrix(column, kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, SIZE)
 
 
 def chosen(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,10 +184,10 @@ def _met(batches):
     for group in _groups(batches, 2):
         v, at = np.unique(group.column("v").to_numpy(), return_index=True)
         if len(v) > 1:
-            mh = _matrix(group.column("mh"))[at]
+            sk = _matrix(group.column("sk"), np.uint8)[at]
             near = np.empty((len(v), len(v)), bool)
             for k in range(0, len(v), 16):
-                near[k : k + 16] = (mh[k : k + 16, None, :] == mh[None, :, :]).sum(2) >= MAYBE
+                near[k : k + 16] = (sk[k : k + 16, None, :] == sk[None, :, :]).sum(2) >= MAYBE
             for m, r in _forest(near):
                 a.append(int(v[m]))
                 b.append(int(v[r]))
@@ -205,7 +207,8 @@ def _with_blocks(rows: DataFrame, size: str, members: int) -> DataFrame:
 
 
 def meetings(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) of nodes (v, mh) that met in a bucket and may reach the threshold."""
+    """Edges (a, b) of nodes (v, mh, sk) that met in a bucket and may reach the threshold. Buckets compare the last bytes
+    of the minhashes (sk), a quarter of their size; different values agree in them once in 256."""
     spark = nodes.sparkSession
     rows = nodes.select("v", "mh").mapInArrow(_roots, "path bigint, v bigint")
     edges = None
@@ -218,7 +221,7 @@ def meetings(nodes: DataFrame) -> DataFrame:
         last = depth == DEPTH - 1
         leaves = live if last else live.filter(F.col("size") <= SMALL)
         dealt = _with_blocks(leaves, "size", SMALL if not last else BLOCK).select("path", "block", "v")
-        sorted_ = dealt.join(nodes.select("v", "mh"), "v").select("path", "block", "v", "mh").repartition("path", "block").sortWithinPartitions("path", "block")
+        sorted_ = dealt.join(nodes.select("v", "sk"), "v").select("path", "block", "v", "sk").repartition("path", "block").sortWithinPartitions("path", "block")
         found = materialize(sorted_.mapInArrow(_met, "a bigint, b bigint").distinct(), "met")
         release(spark)
         edges = found if edges is None else edges.union(found)
@@ -302,16 +305,17 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = materialize(texts.select("k", "th", "t").mapInArrow(_sketches, SKETCHES), "sketches")
     known = rows.filter("n > 0")
     classes = materialize(known.groupBy("v").agg(F.min(F.struct("k", "th")).alias("f"), F.min("k").alias("least"), F.count("*").alias("m")), "sets")
-    own = known.select("k", "th", "v", "mh").join(classes.select("v", "f"), "v").filter(F.col("f.k").eqNullSafe(F.col("k")) & (F.col("f.th") == F.col("th")))
-    nodes = materialize(own.select("v", "mh").dropDuplicates(["v"]), "nodes")
+    own = known.select("k", "th", "v", "mh", "sk").join(classes.select("v", "f"), "v").filter(F.col("f.k").eqNullSafe(F.col("k")) & (F.col("f.th") == F.col("th")))
+    nodes = materialize(own.select("v", "mh", "sk").dropDuplicates(["v"]), "nodes")
     release(spark)
 
     met = meetings(nodes)
     comp = materialize(components(met).select(F.col("node").alias("v"), F.col("label").alias("comp")), "candidates")
     release(spark)
     sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    wanted = comp.join(sizes, "comp").join(classes, "v").select("f.k", "f.th", "v", "comp", "size", "m")
-    with_text = texts.join(wanted, F.coalesce(texts["k"], F.lit(-(2**63))).eqNullSafe(F.coalesce(wanted["k"], F.lit(-(2**63)))) & (texts["th"] == wanted["th"]))
+    wanted = materialize(comp.join(sizes, "comp").join(classes, "v").select("f.k", "f.th", "v", "comp", "size", "m"), "wanted")
+    near = texts.filter(may_hold(wanted, "k", "th")(F.col("k"), F.col("th")))
+    with_text = near.join(wanted, F.coalesce(near["k"], F.lit(-(2**63))).eqNullSafe(F.coalesce(wanted["k"], F.lit(-(2**63)))) & (near["th"] == wanted["th"]))
     whole = materialize(with_text.select("comp", "v", "m", "size", "t").mapInArrow(_whole_sets, "comp bigint, v bigint, m bigint, size bigint, s binary"), "whole")
     release(spark)
     parts = F.ceil(F.col("size") / MEMBERS).cast("int")
