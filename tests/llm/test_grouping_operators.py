@@ -132,3 +132,20 @@ def test_components(spark):
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 150: 100, 200: 100}
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("bits", [None, 64])
+def test_filter_passes_all_keys(spark, monkeypatch, bits):
+    from pyspark.sql import functions as F
+
+    from tidewrack.llm import common
+
+    if bits:
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+    keys = spark.createDataFrame([(i * 7, -i) for i in range(300)] + [(None, 3)], "a bigint, b bigint")
+    rows = keys.union(spark.range(1000, 3000).select(F.col("id"), F.lit(1).cast("bigint")))
+    passed = rows.filter(common.may_hold(keys, "a", "b")(F.col("a"), F.col("b")))
+    assert keys.exceptAll(passed).count() == 0
+    if not bits:
+        assert passed.count() < 600
+    assert rows.filter(common.may_hold(keys.limit(0), "a", "b")(F.col("a"), F.col("b"))).count() == 0
