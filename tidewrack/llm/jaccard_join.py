@@ -228,7 +228,8 @@ def meetings(nodes: DataFrame) -> DataFrame:
         large = live.filter(F.col("size") > SMALL)
         if last or large.isEmpty():
             break
-        rows = large.join(nodes.select("v", "mh"), "v").select("path", "v", "mh").mapInArrow(_deeper, "path bigint, v bigint").distinct()
+        split = nodes.filter(may_hold(large, "v")(F.col("v"))).select("v", "mh")
+        rows = large.join(split, "v").select("path", "v", "mh").mapInArrow(_deeper, "path bigint, v bigint").distinct()
     return edges
 
 
