@@ -62,7 +62,11 @@ def name_tokens(c: Column) -> Column:
 def similar(a: Column, b: Column) -> Column:
     """Equal, token Jaccard, edit distance or containment of comparable forms."""
     x, y = comparable(a), comparable(b)
-    s, t = name_tokens(x), name_tokens(y)
+    return similar_forms(x, y, name_tokens(x), name_tokens(y))
+
+
+def similar_forms(x: Column, y: Column, s: Column, t: Column) -> Column:
+    """J11 on comparable forms and their tokens."""
     jaccard = F.size(F.array_intersect(s, t)) / F.size(F.array_union(s, t))
     short, long = F.least(F.length(x), F.length(y)), F.greatest(F.length(x), F.length(y))
     cap = F.greatest(F.lit(K.EDIT_CAP), F.floor(short * K.EDIT_RATIO).cast("int"))

@@ -38,8 +38,12 @@ def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 def similar_pairs(names: DataFrame, bucket: str, name: str) -> DataFrame:
     """Pairs of different names of one bucket that are similar (see ``functions.text.similar``)."""
-    a, b = names.select(bucket, F.col(name).alias("a")), names.select(bucket, F.col(name).alias("b"))
-    return a.join(b, bucket).filter(F.col("a") < F.col("b")).filter(T.similar(F.col("a"), F.col("b")))
+    forms = names.select(bucket, F.col(name), T.comparable(F.col(name)).alias("__x"))
+    forms = forms.select(bucket, name, "__x", T.name_tokens(F.col("__x")).alias("__t")).repartition(bucket)
+    a = forms.select(bucket, F.col(name).alias("a"), F.col("__x").alias("xa"), F.col("__t").alias("ta"))
+    b = forms.select(bucket, F.col(name).alias("b"), F.col("__x").alias("xb"), F.col("__t").alias("tb"))
+    pairs = a.join(b, (a[bucket] == b[bucket]) & (F.col("a") < F.col("b")) & T.similar_forms(F.col("xa"), F.col("xb"), F.col("ta"), F.col("tb")))
+    return pairs.select(a[bucket], "a", "b")
 
 
 def set_overlap(old: DataFrame, new: DataFrame, group: str, member: str) -> DataFrame:
