@@ -62,6 +62,22 @@ def test_join_equals_brute_force(spark, monkeypatch, small):
     assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == collections.Counter(classes(rows))
 
 
+def test_join_of_dissimilar_sets_in_large_buckets(spark, monkeypatch):
+    """Rows of 8 out of 24 common passages and some text of their own: large buckets of dissimilar sets, links between few of them."""
+    for name, value in (("SMALL", 4), ("BLOCK", 2), ("SHARED", 1), ("MEMBERS", 16)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passages = [[word() for _ in range(60)] for _ in range(24)]
+    rows = []
+    for i in range(900):
+        shared = [w for p in sorted(rng.sample(range(24), 8)) for w in passages[p]]
+        for copy in range(2 if i % 10 == 0 else 1):
+            rows.append((10 * i + copy, " ".join(shared + [word() for _ in range(48)])))
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == collections.Counter(classes(rows))
+
+
 def test_join_of_odd_rows(spark):
     rows = [(k, t) for k, t, *_ in cases.odd_rows()]
     got = jaccard_join.similar_documents(cases.odd(spark)).collect()

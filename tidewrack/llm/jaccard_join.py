@@ -2,9 +2,11 @@
 
 Every set is embedded as ``SIZE`` minhashes. In each run, a bucket of sets chooses coordinates at random, 1 / SIMILARITY
 of them on average, and splits into the buckets of equal values there. Buckets of up to ``SMALL`` sets are compared by
-brute force; larger ones are split again, up to ``DEPTH`` times, and what is still large then (sets too alike to be told
-apart) is compared in blocks of bounded size that share some of its sets. Runs are repeated until a pair at the threshold
-is met with probability ``RECALL``. As all runs are independent, they are carried out together.
+brute force; larger ones are split again, up to ``DEPTH`` times. What is still large then is first compared in blocks of
+bounded size that share some of its sets, which connects sets too alike to be told apart; then all pairs of blocks are
+compared, except inside the largest component of the bucket, so every pair of the bucket is compared or connected. Runs
+are repeated until a pair at the threshold is met with probability ``RECALL``. As all runs are independent, they are
+carried out together.
 
 What meets is kept as a spanning forest, never as all pairs, of the pairs whose sketches may reach the threshold. The
 exact similarity of all pairs inside each component of it is computed from the whole sets, block by block, so a pair
@@ -225,14 +227,61 @@ def meetings(nodes: DataFrame) -> DataFrame:
         found = materialize(sorted_.mapInArrow(_met, "a bigint, b bigint").distinct(), "met")
         release(spark)
         edges = found if edges is None else edges.union(found)
-        large = live.filter(F.col("size") > SMALL)
-        if last or large.isEmpty():
+        large = live.filter(F.col("size") > (BLOCK if last else SMALL))
+        if large.isEmpty():
             break
+        if last:
+            return _across_blocks(large, edges, nodes)
         split = nodes.filter(may_hold(large, "v")(F.col("v"))).select("v", "mh")
         rows = large.join(split, "v").select("path", "v", "mh").mapInArrow(_deeper, "path bigint, v bigint").distinct()
     return edges
 
 
+def _met_across(batches):
+    """Spanning forest of the pairs across a pair of blocks (inside the block if i = j) whose sketches may reach the threshold."""
+    for group in _groups(batches, 3):
+        v, side = group.column("v").to_numpy(), group.column("block").to_numpy()
+        v, at = np.unique(v, return_index=True)
+        side, sk = side[at], _matrix(group.column("sk"), np.uint8)[at]
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        p, q = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        near = np.zeros((len(v), len(v)), bool)
+        for k in range(0, len(p), 16):
+            near[np.ix_(p[k : k + 16], q)] = (sk[p[k : k + 16], None, :] == sk[None, q, :]).sum(2) >= MAYBE
+        edges = _forest(near | near.T)
+        yield pa.RecordBatch.from_arrays([pa.array([int(v[m]) for m, _ in edges], pa.int64()), pa.array([int(v[r]) for _, r in edges], pa.int64())], schema=_EDGE)
+
+
+def _across_blocks(large: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` (as stars around the least node of a component) and those of all pairs of the buckets ``large`` (path, v)
+    that they do not connect yet.
+
+    The largest component of a bucket and its other sets are dealt over blocks of BLOCK sets each; the other sets meet all
+    blocks. A bucket of m sets, o of them outside its largest component, costs m * o comparisons, none if it is connected.
+    """
+    spark = nodes.sparkSession
+    label = materialize(components(edges), "connected")
+    release(spark)
+    named = materialize(large.select("path", "v").join(label.withColumnRenamed("node", "v"), "v", "left").select("path", "v", F.coalesce("label", "v").alias("label")), "named")
+    parts = named.groupBy("path", "label").agg(F.count("*").alias("g"))
+    top = parts.groupBy("path").agg(F.max(F.struct("g", "label")).alias("top"), F.sum("g").alias("m")).filter("top.g < m")
+    top = materialize(top.select("path", F.col("top.label").alias("main"), F.ceil(F.col("top.g") / BLOCK).cast("int").alias("a"), F.ceil((F.col("m") - F.col("top.g")) / BLOCK).cast("int").alias("b")), "unconnected")
+    release(spark)
+    stars = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    if top.isEmpty():
+        return stars
+    deal = lambda n: F.pmod(F.xxhash64("path", "v"), F.col(n).cast("bigint")).cast("int")
+    main = F.col("label") == F.col("main")
+    dealt = named.join(top, "path").withColumn("block", F.when(main, deal("a")).otherwise(F.col("a") + deal("b")))
+    firsts, others = F.sequence(F.lit(0), F.col("a") - 1), F.sequence(F.col("a"), F.col("a") + F.col("b") - 1)
+    partners = F.when(main, others).otherwise(F.concat(firsts, others))
+    keyed = materialize(dealt.select("path", "v", "block", partners.alias("partners")), "dealt").join(nodes.select("v", "sk"), "v").withColumn("other", F.explode("partners"))
+    cells = keyed.select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "v", "block", "sk")
+    found = materialize(cells.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_met_across, "a bigint, b bigint").distinct(), "met")
+    release(spark)
+    return stars.union(found)
+
+
 PAIRS = "v bigint, links bigint, root bigint"
 
 
