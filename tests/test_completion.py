@@ -4,7 +4,7 @@ import urllib.error
 
 from pyspark.sql import functions as F
 
-from tidewrack.operators.completion import STAGES, HttpCompleter, LengthStub, Stage, complete, results_of
+from tidewrack.operators.completion import STAGES, HttpCompleter, LengthStub, Stage, complete, merged, results_of
 
 
 def test_stage_with_a_stub(spark):
@@ -32,6 +32,30 @@ def test_known_results_are_not_asked_again(spark):
     assert {r.id: r.a.label for r in got.collect()} == {1: "Lake", 2: "Wetlands"}
 
 
+def test_long_texts_are_asked_about_in_chunks(spark):
+    """Accessions beyond the first chunk are found, one in an overlap once; rows of one head differ; U1 keeps its head."""
+    filler = "x" * 11_900
+    rows = spark.createDataFrame([(1, f"ACC1 {filler} ACC2 {filler} ACC3"), (2, f"ACC1 {filler} ACC4"), (3, "none"), (4, None)], "id int, t string")
+
+    def finder():
+        import re
+
+        class Finder:
+            def complete(self, prompt):
+                return json.dumps([{"accession": x, "items": []} for x in re.findall("ACC[0-9]", prompt)])
+
+        return Finder()
+
+    done = complete(rows, "id", F.col("t"), STAGES["section_extraction"], finder)
+    got = sorted((r.id, r.a and r.a.accession, r.is_valid) for r in merged(done, "id").collect())
+    assert [x for x in got if x[0] < 3] == [(1, "ACC1", True), (1, "ACC2", True), (1, "ACC3", True), (2, "ACC1", True), (2, "ACC4", True)]
+    assert [x for x in got if x[0] >= 3] == [(3, None, False), (4, None, False)]
+    again = complete(rows, "id", F.col("t"), STAGES["section_extraction"], lambda: None, results_of(done))
+    assert sorted(map(str, again.collect())) == sorted(map(str, done.collect()))
+    head = complete(rows, "id", F.col("t"), STAGES["paper_environment"], lambda: LengthStub("label", ["Lake"]))
+    assert head.count() == 4
+
+
 def test_every_stage_schema_parses(spark):
     rows = spark.createDataFrame([(1, "a")], "id int, t string")
     for stage in list(STAGES.values())[:4]:

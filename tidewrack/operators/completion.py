@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewrack.functions.evidence import chunks
 from tidewrack.functions.json_repair import extract
 from tidewrack.operators.graph import cut
 
@@ -99,11 +100,13 @@ class Stage:
     valid: str = "true"
     most_chars: int = 12_000
     version: str = "1"
+    #: Longer texts are asked about in chunks of most_chars that overlap by so many characters; None: only their head is.
+    overlap: int | None = 200
 
 
 #: The kinds of calls of the domain (U1 to U15). ``valid`` is an SQL condition on the answer ``a``.
 STAGES = {s.name: s for s in [
-    Stage("paper_environment", "Which environments does this abstract sample?\n{text}", "label string", ["label"], "a.label IS NOT NULL", 2_000),
+    Stage("paper_environment", "Which environments does this abstract sample?\n{text}", "label string", ["label"], "a.label IS NOT NULL", 2_000, overlap=None),
     Stage("paragraph_relation", "Which relation does this paragraph state?\n{text}", "relation string, accessions array<string>, labels array<string>, keys array<string>, quote string", ["relation"], "a.relation IN ('unknown', 'label-metadata', 'accession-metadata', 'accession-label', 'accession-label-metadata')"),
     Stage("family_partition", "Group the names that mean the same.\n{text}", "groups array<array<string>>", ["groups"], "a.groups IS NOT NULL"),
     Stage("sample_environment", "Which environment is this sample from?\n{text}", "value string, source_field string, reason string", ["value"], "a.value IS NOT NULL"),
@@ -124,12 +127,21 @@ STAGES = {s.name: s for s in [
 def complete(rows: DataFrame, id_: str, text: Column, stage: Stage, completer: Callable[[], Completer], known: DataFrame | None = None) -> DataFrame:
     """id, key, answer (``a``) and is_valid of every row, one row for each object of an answer.
 
+    A text over the stage's ``most_chars`` has a prompt, a key and answers for each of its chunks, which ``merged`` brings
+    together; stages without an overlap ask about its head alone.
+
     ``known``: earlier results (key, json); only prompts that are not among them are sent, each once. Answers are repaired,
     read with the stage's schema and checked; what cannot be read gives a null answer that is not valid.
     """
     before, after = stage.prompt.split("{text}")
-    prompt = F.concat(F.lit(before), F.left(F.coalesce(text, F.lit("")), F.lit(stage.most_chars)), F.lit(after))
-    asked = rows.select(F.col(id_), prompt.alias("prompt")).withColumn("key", F.sha2(F.concat_ws("\n", F.lit(stage.name), F.lit(stage.version), "prompt").cast("binary"), 256))
+    texts, whole = rows.select(F.col(id_), F.coalesce(text, F.lit("")).alias("__whole")), F.col("__whole")
+    if stage.overlap is None:
+        parts = F.array(F.left(whole, F.lit(stage.most_chars)))
+    else:
+        spans = chunks(whole, stage.most_chars, stage.overlap)
+        parts = F.array_distinct(F.transform(spans, lambda c: F.substring(whole, c["start"] + 1, c["end"] - c["start"])))
+    asked = texts.select(F.col(id_), F.explode(parts).alias("part")).select(id_, F.concat(F.lit(before), "part", F.lit(after)).alias("prompt"))
+    asked = asked.withColumn("key", F.sha2(F.concat_ws("\n", F.lit(stage.name), F.lit(stage.version), "prompt").cast("binary"), 256))
     todo = asked.select("key", "prompt").dropDuplicates(["key"])
     if known is not None:
         todo = todo.join(known.select("key"), "key", "left_anti")
@@ -148,6 +160,13 @@ def complete(rows: DataFrame, id_: str, text: Column, stage: Stage, completer: C
     return asked.select(id_, "key").join(checked, "key")
 
 
+def merged(completed: DataFrame, id_: str) -> DataFrame:
+    """id, answer (``a``) and is_valid of every row over all its chunks: each different answer once, and a null answer only
+    where the row has no other."""
+    read = completed.groupBy(id_).agg(F.collect_set(F.when(F.col("a").isNotNull(), F.struct("a", "is_valid"))).alias("all"))
+    return read.select(id_, F.explode_outer("all").alias("x")).select(id_, "x.a", F.coalesce("x.is_valid", F.lit(False)).alias("is_valid"))
+
+
 def results_of(completed: DataFrame) -> DataFrame:
     """key and json of finished prompts, to be kept for later runs."""
     return completed.groupBy("key").agg(F.to_json(F.collect_list("a")).alias("json"))
