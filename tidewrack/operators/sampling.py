@@ -19,5 +19,5 @@ def excluding(rows: DataFrame, prior: DataFrame, id_: str) -> DataFrame:
 
 
 def split(rows: DataFrame, id_: str, share: float, seed: int = 43) -> DataFrame:
-    """SM4: marks about ``share`` of the rows, by hash."""
+    """Marks about ``share`` of all rows, by hash; not the split per bucket of SM4."""
     return rows.withColumn("held_out", F.pmod(F.xxhash64(F.lit(seed), F.col(id_)), F.lit(1_000_000)) < int(share * 1_000_000))
