@@ -94,12 +94,12 @@ def hits(text, items, window=13):
     return len(w), len(hit), tuple(sorted(found)), len(hit) > 0 and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [decontamination.BLOCK_BYTES, 60])
+@pytest.mark.parametrize("block", [decontamination.BROADCAST_BYTES, 60])
 def test_decontamination(spark, block):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa alpha beta gamma delta epsilon"
     items = [(1, item), (2, "ONE two"), (10, "one"), (3, None), (4, "..."), (5, "naïve façade straße"), (5, "one two three"), (6, "日本語のテキスト です"), (7, "not in any of them at all")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    got = decontamination.contamination(cases.odd(spark), bench, block_bytes=block).collect()
+    got = decontamination.contamination(cases.odd(spark), bench, most_bytes=block).collect()
     assert counted((r.doc_id, r.n_words, r.n_hit, tuple(r.item_ids), r.contaminated) for r in got) == counted((k, *hits(t, items)) for k, t, *_ in cases.odd_rows())
     assert decontamination.contamination(cases.empty(spark), bench).count() == 0
     none = decontamination.contamination(cases.odd(spark), bench.limit(0)).collect()

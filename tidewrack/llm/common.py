@@ -12,27 +12,35 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir`` where the cluster sets it.
-
-    Unset: a temporary folder in local mode (driver and executors are one process), else the warehouse.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        root = tempfile.mkdtemp(prefix="tidewrack-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
+    """Folder that all executors share: ``spark.checkpoint.dir`` where the cluster sets it, else one in the warehouse."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return root.rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the application's scratch folder, which goes when the driver's JVM ends."""
+    folder = f"{scratch_root(spark)}/tidewrack/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` once as a table in the shared folder and return the scan of it."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tidewrack/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,13 +61,19 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send at most so many texts at a time to Python workers, unless the session asks for less: batches are counted in
-    rows, and texts are long."""
+#: Bytes of rows that are sent to a Python worker at a time.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send at most about BATCH_BYTES at a time to Python workers, unless the session asks for less.
+
+    This lowers a setting of the session for good: Spark reads it when a lazy result is run at last. It changes no result.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def release(spark: SparkSession) -> None:
@@ -116,40 +130,57 @@ def list_array(values: np.ndarray, lengths, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
-    """At most about ``most`` rows, chosen by a hash of ``key``: all rows where there are no more.
+def _share(rows: DataFrame, spot: Column, n: int, most: int) -> DataFrame:
+    """Of about ``n`` different rows, a share by their hash ``spot`` that holds ``most`` of them and some more."""
+    share = (1.2 * most + 1000) / max(n, 1)
+    return rows if share >= 1 else rows.filter(spot < int(share * 2**64 - 2**63))
+
 
-    Only the key column is read to find the share; the hard limit guards against repeated keys.
+def bounded_keys(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows of unique keys, those of the least hashes: all rows where there are no more."""
+    spot = F.xxhash64(F.lit("sample"), key)
+    return _share(rows, spot, rows.count(), most).orderBy(spot, key).limit(most)
+
+
+def training_texts(rows: DataFrame, most: int, most_chars: int) -> pa.Table:
+    """At most ``most`` rows (k, text, more columns) on the driver, with at most ``most_chars`` characters of text.
+
+    Rows of equal k and text count once. Where there are more, rows are taken in the order of a hash of k and text, and a
+    text that doesn't fit into what is left of the characters is passed over. The driver sees the keys and lengths of
+    ``most`` rows before it fetches texts.
     """
-    n = rows.count()
-    if n <= most:
-        return rows
-    share = int(most / n * 2**31)
-    return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(2**31)) < share).limit(most + most // 8)
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    spot = F.xxhash64(F.lit("row"), "k", "th")
+    n = rows.agg(F.approx_count_distinct(spot)).first()[0]
+    others = [c for c in rows.columns if c not in ("k", "th", "text")]
+    once = _share(rows, spot, n, most).groupBy("k", "th").agg(F.min("text").alias("text"), *[F.max(c).alias(c) for c in others])
+    held = materialize(once, "sample")
+    chosen, left = [], most_chars
+    for r in held.select("k", "th", F.length("text").alias("n")).orderBy(spot, "k", "th").limit(most).collect():
+        if r.n <= left:
+            chosen.append((r.k, r.th))
+            left -= r.n
+    wanted = held.sparkSession.createDataFrame(chosen, held.select("k", "th").schema)
+    match = held["k"].eqNullSafe(wanted["k"]) & (held["th"] == wanted["th"])
+    got = held.join(F.broadcast(wanted), match, "left_semi").select("k", "text", *others).toArrow()
+    forget(held)
+    return got
 
 
 _BUILT: dict[str, object] = {}
+#: Models that a Python worker keeps; the oldest goes first.
+KEPT = 2
 
 
 def per_worker(key: str, build):
-    """What ``build`` makes, once for each key in a Python worker; the memory holds a few keys only."""
+    """What ``build`` makes, once for each key in a Python worker, which remembers the last few keys only."""
     if key not in _BUILT:
-        if len(_BUILT) >= 8:
-            _BUILT.clear()
+        while len(_BUILT) >= KEPT:
+            _BUILT.pop(next(iter(_BUILT)))
         _BUILT[key] = build()
     return _BUILT[key]
 
 
-def training_texts(rows: DataFrame, most_chars: int) -> pa.Table:
-    """The rows of a bounded sample on the driver, fewer where their texts (column ``text``) hold over ``most_chars``."""
-    held = materialize(rows, "sample")
-    chars = held.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > most_chars:
-        share = int(most_chars / chars * 2**31)
-        held = held.filter(F.pmod(F.xxhash64(F.lit("chars"), "text"), F.lit(2**31)) < share)
-    return held.toArrow()
-
-
 _TABLES: dict[str, np.ndarray] = {}
 
 
@@ -200,25 +231,30 @@ def ngram_hashes(chars: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...],
 FILTER_BITS = 1 << 26
 
 
+def bit_table(hashes: DataFrame, name: str) -> np.ndarray:
+    """A bit filter of a bigint column of hashes: bit ``hash mod bits`` of 64-bit words, 16 bits a row up to FILTER_BITS."""
+    bits = 1 << min((16 * hashes.count() + 1024).bit_length(), FILTER_BITS.bit_length() - 1)
+    spot = F.col(name).bitwiseAND(F.lit(bits - 1).cast("bigint"))
+    words = hashes.select(spot.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).toArrow()
+    table_ = np.zeros(bits // 64, np.int64)
+    table_[words["w"].to_numpy()] = words["b"].to_numpy()
+    return table_
+
+
 def may_hold(keys: DataFrame, *names: str):
     """A test of bigint columns that is true for all rows of ``keys`` and false for most other rows.
 
-    Rows that fail it need not be shuffled for a join with ``keys``. The filter has one bit for each hash value, at most
-    FILTER_BITS whatever the number of keys, so broadcasting it is bounded.
+    Rows that fail it need not be shuffled for a join with ``keys``. The filter is bounded, whatever the number of keys,
+    so that it can be broadcast.
     """
     spark = keys.sparkSession
     ship(spark)
-    bits = 1 << min((16 * keys.count() + 1024).bit_length(), FILTER_BITS.bit_length() - 1)
-    spot = lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(bits).cast("bigint"))
-    words = keys.select(spot(*[F.col(n) for n in names]).alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(h & 63))")).alias("b")).toArrow()
-    table_ = np.zeros(bits // 64, np.int64)
-    table_[words["w"].to_numpy()] = words["b"].to_numpy()
-    shared = spark.sparkContext.broadcast(table_)
+    shared = spark.sparkContext.broadcast(bit_table(keys.select(F.xxhash64(*names).alias("h")), "h"))
 
     def test(h):
-        at = h.to_numpy(zero_copy_only=False)
+        at = h.to_numpy(zero_copy_only=False) & (64 * len(shared.value) - 1)
         return pa.array((shared.value[at >> 6] >> (at & 63)) & 1 > 0)
 
     test.__annotations__ = {"h": pa.Array, "return": pa.Array}
     run = F.arrow_udf(test, "boolean")
-    return lambda *columns: run(spot(*columns))
+    return lambda *columns: run(F.xxhash64(*columns))

@@ -1,115 +1,70 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, scanned over all training windows.
 
-Words are maximal runs of digits, letters a-z and non-ASCII characters after lower-casing A-Z. A window is ``WINDOW``
-consecutive words of an item; an item of fewer words, but not none, is one window. Hash hits are verified word by word.
+A window is ``WINDOW`` consecutive words of an item; an item of fewer words, but not none, is one window. Hash hits are
+verified word by word.
+
+The set is broadcast while the items hold at most ``BROADCAST_BYTES``. Beyond that nothing that grows with the benchmark
+is broadcast: windows of texts that pass a bit filter of bounded size are joined with the windows of the items, on all
+their words, and what is found comes back to the texts. Both ways give the same results.
 """
 
 import uuid
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import blocks, list_array, per_worker, small_batches, string_buffers
+from tidewrack.llm.common import bit_table, blocks, list_array, materialize, may_hold, per_worker, small_batches, string_buffers
+from tidewrack.llm.words import Words
 
 WINDOW = 13
-#: Bytes of item texts that one broadcast may hold. A larger benchmark is scanned block by block.
-BLOCK_BYTES = 4 << 20
-#: Bytes of document text hashed at a time.
-CHUNK = 1 << 20
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.zeros(256, bool)
-_WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_BASE, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_FILTER = 20
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class _Words:
-    """Words of neighbouring texts: bounds, hash and text number of each."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
-        first, last = int(offsets[0]), int(offsets[-1])
-        self.low = _LOWER[data[first:last]]
-        inside = np.zeros(len(self.low) + 2, bool)
-        inside[1:-1] = _WORD[self.low]
-        cut = np.zeros(len(self.low) + 1, bool)
-        cut[offsets - first] = True
-        self.start = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
-        self.end = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-        self.text = np.searchsorted(offsets - first, self.start, "right") - 1
-        up, down = _POWERS.get(len(self.low))
-        total = np.zeros(len(self.low) + 1, np.uint64)
-        np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * up[: len(self.low)], out=total[1:])
-        h = (total[self.end] - total[self.start]) * down[self.start] if len(self.start) else np.zeros(0, np.uint64)
-        h ^= h >> np.uint64(29)
-        h *= _STEP
-        self.hash = h ^ (h >> np.uint64(32))
-
-    def windows(self, size: int) -> np.ndarray:
-        n = len(self.hash) - size + 1
-        out = np.zeros(max(n, 0), np.uint64)
-        if n > 0:
-            for j, p in enumerate(_powers(_STEP, size)):
-                out += self.hash[j : j + n] * p
-            out ^= out >> np.uint64(31)
-        return out
-
-    def key(self, i: int, size: int) -> bytes:
-        return b" ".join(self.low[self.start[k] : self.end[k]].tobytes() for k in range(i, i + size))
-
-
-class _PowerTable:
-    def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        n = max(n, 1)
-        if len(self.up) >= n:
-            return self.up, self.down
-        up, down = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
-        if n <= 4 * CHUNK:
-            self.up, self.down = up, down
-        return up, down
-
-
-_POWERS = _PowerTable()
+#: Bytes of item texts and ids that are broadcast at most.
+BROADCAST_BYTES = 4 << 20
+#: Bytes of document text hashed at a time, and verified windows that a worker remembers.
+CHUNK, REMEMBERED = 1 << 18, 20_000
+
+
+def _window_sizes(words: Words, n: int, window: int) -> np.ndarray:
+    """Length of the windows of each of n items."""
+    return np.minimum(np.bincount(words.text, minlength=n), window)
+
+
+def _item_windows(words: Words, sizes: np.ndarray, size: int) -> np.ndarray:
+    """First words of the windows of that length, in the items that have such windows."""
+    at = np.arange(max(len(words.hash) - size + 1, 0))
+    return at[(words.text[at] == words.text[at + size - 1]) & (sizes[words.text[at]] == size)]
 
 
 class WindowSet:
-    """Windows of one block of items: a bit filter and exact keys by window length."""
+    """Windows of the items by length: a bit filter of eight slots a window, sorted hashes, and places of the words."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
         self.ids = [i for i, _ in items]
-        self.keys: dict[int, dict[bytes, tuple[int, ...]]] = defaultdict(dict)
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
-        for n, (_, text) in enumerate(items):
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            words = _Words(raw, np.array([0, len(raw)]))
-            size = min(window, len(words.hash))
-            if not size:
-                continue
-            hashes[size].append(words.windows(size))
-            for i in range(len(words.hash) - size + 1):
-                key = words.key(i, size)
-                have = self.keys[size].get(key, ())
-                if n not in have:
-                    self.keys[size][key] = (*have, n)
-        self.filters = {}
-        for size, found in hashes.items():
-            bits = np.zeros(1 << _FILTER, bool)
-            bits[np.concatenate(found) & np.uint64((1 << _FILTER) - 1)] = True
-            self.filters[size] = bits
+        data, offsets = string_buffers(pa.array([t for _, t in items], pa.string()))
+        self.words = Words(data, offsets)
+        sizes = _window_sizes(self.words, len(items), window)
+        self.tables = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at = _item_windows(self.words, sizes, size)
+            h = self.words.windows(size)[at]
+            order = np.argsort(h, kind="stable")
+            mask = np.uint64((1 << (8 * len(at)).bit_length()) - 1)
+            bits = np.zeros(int(mask) + 1, bool)
+            bits[h & mask] = True
+            self.tables[size] = bits, mask, h[order], at[order]
+        self.known: dict[tuple[int, int], dict[bytes, tuple[int, ...]]] = {}
+
+    def items_of(self, size: int, low: int, high: int) -> dict[bytes, tuple[int, ...]]:
+        """Items of each window among the sorted places from low to high, which share a hash."""
+        if (size, low) not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found: dict[bytes, set[int]] = {}
+            for k in self.tables[size][3][low:high].tolist():
+                found.setdefault(self.words.key(k, size), set()).add(int(self.words.text[k]))
+            self.known[size, low] = {k: tuple(v) for k, v in found.items()}
+        return self.known[size, low]
 
     def scan(self, texts: pa.Array) -> pa.Array:
         data, offsets = string_buffers(texts)
@@ -118,15 +73,16 @@ class WindowSet:
         items: list[set] = [set() for _ in range(n)]
         spans: list[np.ndarray] = []
         for a, b in blocks(offsets, CHUNK):
-            words = _Words(data, offsets[a : b + 1])
+            words = Words(data, offsets[a : b + 1])
             n_words[a:b] = np.bincount(words.text, minlength=b - a)
             edge = np.zeros(len(words.hash) + 1, np.int64)
-            for size, bits in self.filters.items():
+            for size, (bits, mask, hashes, _) in self.tables.items():
                 h = words.windows(size)
-                maybe = np.flatnonzero(bits[h & np.uint64((1 << _FILTER) - 1)])
+                maybe = np.flatnonzero(bits[h & mask])
                 maybe = maybe[words.text[maybe] == words.text[maybe + size - 1]]
-                for i in maybe.tolist():
-                    if found := self.keys[size].get(words.key(i, size)):
+                low, high = np.searchsorted(hashes, h[maybe], "left"), np.searchsorted(hashes, h[maybe], "right")
+                for i, p, q in zip(maybe.tolist(), low.tolist(), high.tolist(), strict=True):
+                    if p < q and (found := self.items_of(size, p, q).get(words.key(i, size))):
                         edge[i] += 1
                         edge[i + size] -= 1
                         items[a + words.text[i]].update(found)
@@ -135,91 +91,140 @@ class WindowSet:
             where = offsets[a] - offsets[a + words.text[hit]]
             spans.append(np.stack([words.start[hit] + where, words.end[hit] + where], 1).ravel())
         found = [sorted({self.ids[i] for i in x}) for x in items]
-        flat = np.concatenate(spans) if spans else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays(
-            [pa.array(n_words), pa.array(n_hit), pa.array(found, pa.list_(pa.string())), list_array(flat, 2 * n_hit, pa.int64())],
-            ["n_words", "n_hit", "item_ids", "hit_bytes"],
-        )
+        return _hits(n_words, n_hit, found, np.concatenate(spans) if spans else np.zeros(0, np.int64))
 
 
-HITS = "struct<n_words: bigint, n_hit: bigint, item_ids: array<string>, hit_bytes: array<bigint>>"
-
-
-def _merged(own: pa.Array, prior: pa.Array) -> pa.Array:
-    """Hits of two blocks of items: words hit by either count once."""
-    n_words, n_hit, ids, spans = (own.field(i) for i in range(4))
-    rows = []
-    for a, b, x, y in zip(ids.to_pylist(), prior.field(2).to_pylist(), spans.to_pylist(), prior.field(3).to_pylist(), strict=True):
-        if x and y:
-            pairs = sorted({*zip(x[::2], x[1::2], strict=True), *zip(y[::2], y[1::2], strict=True)})
-            x, y = [v for p in pairs for v in p], []
-        rows.append((sorted({*a, *b}), x or y))
+def _hits(n_words: np.ndarray, n_hit: np.ndarray, ids: list, flat: np.ndarray) -> pa.Array:
     return pa.StructArray.from_arrays(
-        [n_words, pa.array([len(x) // 2 for _, x in rows], pa.int64()), pa.array([a for a, _ in rows], pa.list_(pa.string())), pa.array([x for _, x in rows], pa.list_(pa.int64()))],
+        [pa.array(n_words), pa.array(n_hit), pa.array(ids, pa.list_(pa.string())), list_array(flat, 2 * n_hit, pa.int64())],
         ["n_words", "n_hit", "item_ids", "hit_bytes"],
     )
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list[tuple[str, str | None]]]:
-    """The items, in blocks whose texts are known to fit ``block_bytes`` each (an item is never cut)."""
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
-    parts = -(-size // block_bytes) if size else 1
-    out: list[list[tuple[str, str | None]]] = []
-    for k in range(parts):
-        have, held = [], 0
-        for row in items.filter(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).toLocalIterator():
-            held += len(row.t or "")
-            if have and held > 2 * block_bytes:
-                out.append(have)
-                have, held = [], len(row.t or "")
-            have.append((row.i, row.t))
-        out.append(have)
-    return out
-
-
-def benchmark_hits(spark, benchmark: DataFrame, text: Column, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> Column:
-    """Struct column of hits (see ``HITS``; hit_bytes: start and end byte of every hit word) for a text column.
-
-    Null and word-less texts have no words and no hits; null items have no windows; repeated items count once by id.
-    """
-    small_batches(spark)
-    hits = None
-    for block in item_blocks(benchmark, item_id, item_text, block_bytes):
-        scan = _scanner(spark.sparkContext.broadcast(block), window, hits is not None)
-        hits = scan(text) if hits is None else scan(text, hits)
-    return hits
+HITS = "struct<n_words: bigint, n_hit: bigint, item_ids: array<string>, hit_bytes: array<bigint>>"
+
 
+def with_hits(rows: DataFrame, text: str, mark: str, benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows with a struct column ``mark`` of hits (see ``HITS``; hit_bytes: start and end byte of every hit word).
 
-def _scanner(shared, window: int, more: bool):
-    key = f"windows-{uuid.uuid4().hex}"
+    Null and word-less texts have no words and no hits; null items have no windows; a null item id is named "null", and
+    items that repeat an id count once by it.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("i"), F.col(item_text).alias("t"))
+    held = items.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.octet_length("i"))).first()[0] or 0
+    if held > most_bytes:
+        return _joined(rows, text, mark, items, window)
+    shared, key = spark.sparkContext.broadcast([tuple(r) for r in items.collect()]), f"windows-{uuid.uuid4().hex}"
 
     def scan(texts: pa.Array) -> pa.Array:
         return per_worker(key, lambda: WindowSet(shared.value, window)).scan(texts)
 
-    def scan_more(texts: pa.Array, prior: pa.Array) -> pa.Array:
-        return _merged(scan(texts), prior)
-
-    return F.arrow_udf(scan_more if more else scan, HITS)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return rows.withColumn(mark, F.arrow_udf(scan, HITS)(F.col(text)))
+
+
+_WINDOWS = pa.schema([("i", pa.string()), ("size", pa.int32()), ("h", pa.int64()), ("key", pa.binary())])
+_CANDIDATES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("h", pa.int64()), ("key", pa.binary())])
+
+
+def _windows_of(window: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = string_buffers(batch.column(1))
+            for a, b in blocks(offsets, CHUNK):
+                words = Words(data, offsets[a : b + 1])
+                sizes = _window_sizes(words, b - a, window)
+                for size in np.unique(sizes[sizes > 0]).tolist():
+                    at, h = _item_windows(words, sizes, size), words.windows(size).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(pa.array(a + words.text[at])), pa.array(np.full(len(at), size, np.int32)),
+                        pa.array(h[at]), pa.array([words.key(k, size) for k in at.tolist()], pa.binary()),
+                    ], schema=_WINDOWS)
+
+    return run
+
+
+def _candidates(shared, sizes: list[int]):
+    def run(batches):
+        bits = shared.value
+        mask = np.uint64(64 * len(bits) - 1)
+        for batch in batches:
+            data, offsets = string_buffers(batch.column(2))
+            for a, b in blocks(offsets, CHUNK):
+                words = Words(data, offsets[a : b + 1])
+                first = np.searchsorted(words.text, np.arange(b - a))
+                for size in sizes:
+                    h = words.windows(size)
+                    spot = (h & mask).astype(np.int64)
+                    at = np.flatnonzero((bits[spot >> 6] >> (spot & 63)) & 1)
+                    at = at[words.text[at] == words.text[at + size - 1]]
+                    text = pa.array(a + words.text[at])
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(text), batch.column(1).take(text), pa.array((at - first[words.text[at]]).astype(np.int32)),
+                        pa.array(np.full(len(at), size, np.int32)), pa.array(h[at].view(np.int64)), pa.array([words.key(k, size) for k in at.tolist()], pa.binary()),
+                    ], schema=_CANDIDATES)
+
+    return run
+
+
+def _placed(texts: pa.Array, places: pa.Array, ids: pa.Array) -> pa.Array:
+    """Hits of texts from the places (first word, length) and the items of their windows."""
+    data, offsets = string_buffers(texts)
+    n = len(offsets) - 1
+    n_words, n_hit, spans = np.zeros(n, np.int64), np.zeros(n, np.int64), []
+    for k in range(n):
+        words = Words(data, offsets[k : k + 2])
+        edge = np.zeros(len(words.hash) + 1, np.int64)
+        for p in places[k].as_py() or ():
+            edge[p["at"]] += 1
+            edge[p["at"] + p["size"]] -= 1
+        hit = np.cumsum(edge[:-1]) > 0
+        n_words[k], n_hit[k] = len(words.hash), hit.sum()
+        spans.append(np.stack([words.start[hit], words.end[hit]], 1).ravel())
+    return _hits(n_words, n_hit, [x or [] for x in ids.to_pylist()], np.concatenate(spans) if spans else np.zeros(0, np.int64))
+
+
+def _joined(rows: DataFrame, text: str, mark: str, items: DataFrame, window: int) -> DataFrame:
+    """``with_hits`` by a join. Texts are known by two hashes; only those that may have hits are joined with them."""
+    spark = rows.sparkSession
+    windows = materialize(items.mapInArrow(_windows_of(window), "i string, size int, h bigint, key binary").distinct(), "windows")
+    sizes = [r.size for r in windows.select("size").distinct().collect()]  # at most ``window`` of them
+    shared = spark.sparkContext.broadcast(bit_table(windows.select("h"), "h"))
+    names = [f"{mark}_{x}" for x in ("h1", "h2")]
+    own = [F.xxhash64(F.lit(salt), F.coalesce(F.col(text), F.lit(""))) for salt in names]
+    asked = rows.select(own[0].alias("h1"), own[1].alias("h2"), F.col(text).alias("t"))
+    made = asked.mapInArrow(_candidates(shared, sizes), "h1 bigint, h2 bigint, at int, size int, h bigint, key binary").distinct()
+    found = materialize(materialize(made, "candidates").join(windows, ["size", "h", "key"]).select("h1", "h2", "at", "size", "i"), "found")
+    places = found.groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "size")).alias("places"))
+    ids = found.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("i")).alias("ids"))
+    hits = materialize(places.join(ids, ["h1", "h2"]), "hits")
+    marked = rows.withColumns(dict(zip(names, own, strict=True)))
+    maybe = may_hold(hits, "h1", "h2")(*[F.col(x) for x in names])
+    near = marked.withColumn(f"{mark}_near", maybe)
+    joined = near.filter(f"{mark}_near").join(hits.toDF(*names, f"{mark}_places", f"{mark}_ids"), names, "left")
+    none = {f"{mark}_{x}": F.lit(None).cast(hits.schema[x].dataType) for x in ("places", "ids")}
+    everything = joined.unionByName(near.filter(f"NOT {mark}_near").withColumns(none))
+    done = everything.withColumn(mark, F.arrow_udf(_placed, HITS)(F.col(text), F.col(f"{mark}_places"), F.col(f"{mark}_ids")))
+    return done.drop(*names, *none, f"{mark}_near")
+
+
+def _contaminated(hits: str):
+    return (F.col(f"{hits}.n_hit") > 0) & (20 * F.col(f"{hits}.n_hit") >= F.col(f"{hits}.n_words"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of ``docs``: id, n_words, n_hit, item_ids (sorted), contaminated, hit_bytes.
 
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Repeated rows give repeated results; an empty table gives none;
     other columns are ignored, whatever their names.
     """
-    hits = benchmark_hits(docs.sparkSession, benchmark, F.col("t"), window=window, block_bytes=block_bytes)
-    found = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).select("k", hits.alias("h"))
-    return found.select(
-        F.col("k").alias(doc_id), "h.n_words", "h.n_hit", F.array_sort("h.item_ids").alias("item_ids"), "h.hit_bytes",
-        ((F.col("h.n_hit") > 0) & (20 * F.col("h.n_hit") >= F.col("h.n_words"))).alias("contaminated"),
-    )
+    rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t"))
+    found = with_hits(rows, "t", "hits", benchmark, window=window, most_bytes=most_bytes)
+    return found.select(F.col("k").alias(doc_id), "hits.n_words", "hits.n_hit", F.array_sort("hits.item_ids").alias("item_ids"), "hits.hit_bytes", _contaminated("hits").alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    hits = benchmark_hits(docs.sparkSession, benchmark, F.col(text))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns; null texts stay."""
     mark = "__contamination"
-    kept = docs.withColumn(mark, hits).filter(~((F.col(f"{mark}.n_hit") > 0) & (20 * F.col(f"{mark}.n_hit") >= F.col(f"{mark}.n_words"))))
-    return kept.drop(mark)
+    return with_hits(docs, text, mark, benchmark, most_bytes=most_bytes).filter(~_contaminated(mark)).select(*[F.col(f"`{c}`") for c in docs.columns])
