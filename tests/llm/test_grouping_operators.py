@@ -56,7 +56,7 @@ def test_join_equals_brute_force(spark, monkeypatch, small):
     """With tiny limits every bucket is split, dealt over blocks, and every component takes several blocks."""
     rows = near_copies(3)
     if small:
-        for name, value in (("SMALL", 4), ("BLOCK", 8), ("SHARED", 4), ("MEMBERS", 16)):
+        for name, value in (("SMALL", 4), ("BLOCK", 8), ("SHARED", 4), ("WIDE", 6), ("MEMBERS", 16), ("SAMPLE", 8)):
             monkeypatch.setattr(jaccard_join, name, value)
     got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert collections.Counter((r.doc_id, r.class_id, r.n_links) for r in got) == collections.Counter(classes(rows))
@@ -64,7 +64,7 @@ def test_join_equals_brute_force(spark, monkeypatch, small):
 
 def test_join_of_dissimilar_sets_in_large_buckets(spark, monkeypatch):
     """Rows of 8 out of 24 common passages and some text of their own: large buckets of dissimilar sets, links between few of them."""
-    for name, value in (("SMALL", 4), ("BLOCK", 2), ("SHARED", 1), ("MEMBERS", 16)):
+    for name, value in (("SMALL", 4), ("BLOCK", 2), ("SHARED", 1), ("WIDE", 3), ("MEMBERS", 16)):
         monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(5000)}"
