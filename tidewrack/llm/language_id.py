@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import bounded_sample, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
+from tidewrack.llm.common import codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
 
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 30_000_000
 SIZES, BITS = (3,), 14
@@ -104,7 +104,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Fit on rows with a text and a language whose id bucket is not the held-out one."""
     usable = docs.filter((id_bucket(F.col(doc_id), FOLDS) != HELD_OUT) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     usable = usable.select(F.col(doc_id).alias("k"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    got = training_texts(bounded_sample(usable, "k", rows), most_chars).sort_by([("k", "ascending"), ("text", "ascending")])
+    got = training_texts(usable, rows, most_chars).sort_by([("k", "ascending"), ("text", "ascending")])
     return fit(got["text"].to_pylist(), got["lang"].to_pylist())
 
 

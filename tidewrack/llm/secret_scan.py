@@ -1,15 +1,18 @@
 """Secret scans with DataFrame and SQL functions only.
 
-Base rules find credentials by their form. A randomness test battery adds spans: every long token gets an inferred
-encoding, and three tests of the hypothesis "its symbols are drawn at random from that alphabet" (chi-squared
-uniformity, runs about the middle, serial correlation). Their smallest p-value, times three, is binned by length class
-over the whole corpus; a Benjamini-Hochberg threshold for each length class tells the tokens that are certainly not
-random. The others are taken for secrets.
+Base rules find credentials by their form. A randomness test battery adds spans. Every long token gets an inferred
+encoding, and three tests of the hypothesis "its symbols are drawn at random from that alphabet": chi-squared uniformity,
+runs about the middle, and serial correlation of the four quarters of the alphabet. A token that the battery rejects is
+not random. What it leaves is a discovery only against the other hypothesis, "it is ordinary text": its symbols are drawn
+like those of all the texts of the corpus. The p-value of that is the chance that ordinary symbols stay inside the
+token's alphabet and coincide as rarely as the token's do. A Benjamini-Hochberg threshold for each length class, over all
+tested tokens of the corpus, bounds the share of ordinary tokens among those that are reported.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,106 +26,176 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 LEAST_ASSIGN = 8
 KINDS = ["assign", "access", "hex", "random"]
-#: Tokens that are tested: of at least so many symbols, with both a digit and a letter.
+#: Tokens that are tested: of at least so many symbols, not only digits.
 TOKEN_CHARS = 20
-TOKEN = rf"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{{0,400}}+[0-9])(?=[0-9+/_-]{{0,400}}+[A-Za-z])[A-Za-z0-9+/_-]{{{TOKEN_CHARS},}}={{0,2}}"
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{TOKEN_CHARS},}}={{0,2}}"
+RULES = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
 #: Alphabets of the encodings, tried in this order; a token's own is the first that holds all its symbols.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = [
-    ("hex", "0123456789abcdef"),
-    ("upper hex", "0123456789ABCDEF"),
-    ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("base36", "0123456789abcdefghijklmnopqrstuvwxyz"),
-    ("upper base36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
-    ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
-    ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
-    ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
+    ("hex", DIGITS + "abcdef"), ("upper hex", DIGITS + "ABCDEF"), ("lower", LOWER), ("upper", UPPER), ("base32", UPPER + "234567"),
+    ("base36", DIGITS + LOWER), ("upper base36", DIGITS + UPPER), ("letters", UPPER + LOWER), ("base62", UPPER + LOWER + DIGITS),
+    ("base64", UPPER + LOWER + DIGITS + "+/"), ("base64url", UPPER + LOWER + DIGITS + "-_"), ("mixed", UPPER + LOWER + DIGITS + "+/-_"),
 ]
-#: Share of false discoveries among tokens called not random; p-values are kept to 1 / BINS of a decade.
-FDR = 0.05
+SYMBOLS = ALPHABETS[-1][1]
+#: Share of ordinary tokens among those reported; level of the battery; p-values are kept to 1 / BINS of a decade.
+FDR, LEVEL = 0.05, 0.001
 BINS, MOST_BIN = 8, 2400
 
-SPAN = "struct<s: int, r: int, e: int>"
-
-
-def placed(found: Column, between: Column) -> Column:
-    """Start (code points) of each match: lengths of all before it, summed."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s: int, m: string>>").alias("out"))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["b"])).alias("s"), x["m"].alias("m")))).alias("out"),
-    )
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    none = F.array().cast("array<struct<s: int, m: string>>")
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(none)
-
-
-def _spans(where: Column, rank: int) -> Column:
-    return F.transform(where, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("r"), (x["s"] + F.length(x["m"])).alias("e")))
-
-
-def two_sided(z: Column) -> Column:
-    """p-value of a standard normal deviate: rational approximation of the complementary error function."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    series = ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t
-    return F.greatest(series * F.exp(-x * x), F.lit(1e-300))
-
-
-def randomness(token: Column) -> Column:
-    """Smallest of the three p-values, times three (at most 1), under the token's inferred encoding."""
-    body = F.rtrim(token, F.lit("="))
-    alphabet = F.coalesce(*[F.when(F.translate(body, a, "") == "", F.lit(a)) for _, a in ALPHABETS])
-    made = F.struct(body.alias("body"), alphabet.alias("alphabet"))
-    coded = F.transform(F.array(made), lambda x: F.struct(
-        F.length(x["alphabet"]).cast("double").alias("a"),
-        F.transform(F.filter(F.split(x["body"], ""), lambda c: c != ""), lambda c: (F.position(c, x["alphabet"]) - 1).cast("double")).alias("v"),
-    ))
-    return F.transform(coded, _battery)[0]
-
-
-def _battery(x: Column) -> Column:
-    v, a = x["v"], x["a"]
-    n = F.size(v).cast("double")
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, y: s + y)
-    squares = total(F.transform(F.array_distinct(v), lambda c: F.pow(F.size(F.filter(v, lambda y: y == c)).cast("double"), F.lit(2.0))))
-    chi, df = a / n * squares - n, a - 1
-    spread = 2 / (9 * df)
-    chi_z = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
-    high = F.transform(v, lambda y: (y >= a / 2).cast("double"))
-    n1 = total(high)
-    n2 = n - n1
-    runs = 1 + total(F.zip_with(F.slice(high, 1, F.size(v) - 1), F.slice(high, 2, F.size(v)), lambda p, q: (p != q).cast("double")))
-    mean = 2 * n1 * n2 / n + 1
-    var = (mean - 1) * (mean - 2) / (n - 1)
-    runs_z = F.when(var > 0, (runs - mean) / F.sqrt(var)).otherwise(F.sqrt(n))
-    centre = (a - 1) / 2
-    serial = total(F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v)), lambda p, q: (p - centre) * (q - centre)))
-    power = total(F.transform(v, lambda p: F.pow(p - centre, F.lit(2.0))))
-    serial_z = F.when(power > 0, serial / power * F.sqrt(n)).otherwise(F.sqrt(n))
-    return F.least(F.lit(1.0), 3 * F.least(two_sided(F.greatest(chi_z, F.lit(0.0))), two_sided(runs_z), two_sided(serial_z)))
-
-
-def scan_columns(docs: DataFrame, text: str) -> DataFrame:
-    """Adds __base (base spans) and __tested (tokens outside base spans: start, end, length class, bin) to the rows."""
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Results of ``step`` over all values before each one. n values take n^1.5 time: they are taken in blocks."""
+    n = F.size(values)
+    wide = F.ceil(F.sqrt(n)).cast("int")
+    fold = lambda xs: F.aggregate(xs, zero, step)
+
+    def within(block: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.slice(F.array(first), 1, 0).alias("out"))
+        following = lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(block, start, following, lambda acc: acc["out"])
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / wide).cast("int")), lambda i: F.slice(values, i * wide + 1, wide))
+    whole = lambda made: let(F.transform(made, fold), lambda t: F.flatten(F.zip_with(made, F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: fold(F.slice(t, F.lit(1), i))), within)))
+    return F.when(n > 0, let(cut, whole)).otherwise(F.slice(F.array(zero), 1, 0))
+
+
+MATCHES = "array<struct<s: int, r: int, e: int, m: string>>"
+
+
+def placed(text: Column, kind: str) -> Column:
+    """Matches of a rule: start and end (code points), rank of the kind, and the match itself."""
+    rule, rank = RULES[kind], KINDS.index(kind)
+
+    def sized(found: Column) -> Column:
+        return F.zip_with(found, F.slice(F.split(text, rule, -1), 1, F.size(found)), lambda m, b: F.struct(F.length(b).alias("b"), F.length(m).alias("n"), m.alias("m")))
+
+    def starts(xs: Column) -> Column:
+        before = running(F.transform(xs, lambda x: x["b"] + x["n"]), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(xs, before, lambda x, at: F.struct((at + x["b"]).alias("s"), F.lit(rank).alias("r"), (at + x["b"] + x["n"]).alias("e"), x["m"].alias("m")))
+
+    found = F.regexp_extract_all(text, F.lit(rule), F.lit(0))
+    return let(found, lambda f: F.when(F.size(f) > 0, let(sized(f), starts)).otherwise(F.array().cast(MATCHES)))
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL text of ``let``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _lower_tail(z: str) -> str:
+    """SQL text: chance of a standard normal deviate below z, by a rational approximation of the complementary error
+    function."""
+    series = "((((1.061405429D * t - 1.453152027D) * t + 1.421413741D) * t - 0.284496736D) * t + 0.254829592D) * t"
+    tail = _let("t", "1D / (1D + 0.3275911D * h)", f"greatest(({series}) * exp(-h * h) / 2D, 1e-300D)")
+    return _let("w", z, _let("h", f"abs(w) / {math.sqrt(2)!r}D", _let("p", tail, "if(w <= 0, p, 1D - p)")))
+
+
+def quarters(alphabet: str) -> str:
+    """Quarter of the alphabet, 0 to 3, of each of its symbols."""
+    return "".join(str(4 * i // len(alphabet)) for i in range(len(alphabet)))
+
+
+def _facts(alphabet: str, ordinary: dict[str, float]) -> str:
+    """SQL text of a struct: the alphabet, its quarters and their sizes, and what ordinary text does inside it (share of
+    symbols as a logarithm, sums of their squares and cubes)."""
+    shares = [ordinary[c] for c in alphabet]
+    mass = sum(shares)
+    sizes = [quarters(alphabet).count(str(g)) / len(alphabet) for g in range(4)]
+    mean = sum(g * x for g, x in enumerate(sizes))
+    power = sum(x * (g - mean) ** 2 for g, x in enumerate(sizes))
+    numbers = {"mass": math.log10(mass), "squares": sum((x / mass) ** 2 for x in shares), "cubes": sum((x / mass) ** 3 for x in shares), "mean": mean, "power": power, "both": (sizes[2] + sizes[3]) * (sizes[0] + sizes[1])}
+    return f"named_struct('a', '{alphabet}', 'q', '{quarters(alphabet)}', " + ", ".join(f"'{k}', {float(v)!r}D" for k, v in numbers.items()) + ")"
+
+
+def tested(token: str, ordinary: dict[str, float]) -> str:
+    """SQL text of a struct for a token. b: bin of the p-value of "ordinary text"; ok: whether the battery takes the token
+    for random. ``ordinary``: share of each symbol in ordinary text. It works on counts of symbols and of neighbours (by
+    what is left without them), so a token of any length takes memory in proportion to it."""
+    alphabet = "coalesce(" + ", ".join(f"if(translate(t, '{a}', '') = '', {_facts(a, ordinary)}, null)" for _, a in ALPHABETS) + ")"
+    pairs = "aggregate(sequence(1, length(x.a)), 0D, (s, i) -> s + " + _let("c", "cast(length(t) - length(replace(t, substring(x.a, i, 1), '')) as double)", "c * (c - 1D)") + ")"
+    order = [(g, h) for g in range(4) for h in range(4) if g != h]
+    places = ", ".join(f"cast(length(v) - length(replace(v, '{g}', '')) - if(right(v, 1) = '{g}', 1, 0) as double)" for g in range(4))
+    steps = ", ".join(f"(length(v) - length(replace(v, '{g}{h}', ''))) / 2D" for g, h in order)
+    coded = _let("v", "translate(t, x.a, x.q)", f"named_struct('starts', array({places}), 'steps', array({steps}))")
+    n, at = "cast(length(t) as double)", {gh: f"c.steps[{i}]" for i, gh in enumerate(order)}
+    for g in range(4):  # of equal neighbours: all but the last symbol start a pair
+        at[g, g] = f"(c.starts[{g}] - " + " - ".join(at[g, h] for h in range(4) if h != g) + ")"
+    changes = " + ".join(at[g, h] for g, h in order if (g < 2) != (h < 2))
+    serial = " + ".join(f"{v} * ({g} - x.mean) * ({h} - x.mean)" for (g, h), v in at.items())
+    made = f"named_struct('n', {n}, 'k', cast(length(x.a) as double), 'pairs', {pairs}, 'changes', {changes}, 'serial', ({serial}) / (x.power * sqrt({n} - 1D)))"
+    chi = "(power(greatest(y.k / y.n * (y.pairs + y.n) - y.n, 0D) / (y.k - 1D), 1D / 3D) - (1D - 2D / (9D * (y.k - 1D)))) / sqrt(2D / (9D * (y.k - 1D)))"
+    runs = "(y.changes - (y.n - 1D) * 2D * x.both) / sqrt((y.n - 1D) * 2D * x.both * (1D - 2D * x.both) + 2D * (y.n - 2D) * x.both * (1D - 4D * x.both))"
+    battery = f"3D * 2D * array_min(transform(array({chi}, {runs}, y.serial), z -> {_lower_tail('-abs(z)')}))"
+    spread = "4D * y.n * (y.n - 1D) * (y.n - 2D) * (x.cubes - x.squares * x.squares) + 2D * y.n * (y.n - 1D) * (x.squares - x.squares * x.squares)"
+    rare = _lower_tail(f"(y.pairs + 1D - y.n * (y.n - 1D) * x.squares) / sqrt(greatest({spread}, 1e-9D))")
+    log_p = f"{math.log10(len(ALPHABETS))!r}D + y.n * x.mass + log10({rare})"
+    verdict = f"named_struct('b', least({MOST_BIN}, greatest(0, cast(floor(-({log_p}) * {BINS}) as int))), 'ok', {battery} >= {LEVEL}D)"
+    return _let("t", f"rtrim('=', {token})", _let("x", alphabet, _let("c", coded, _let("y", made, verdict))))
+
+
+#: Symbols in the order in which they are counted: white space and frequent letters first, as what is counted is taken out.
+COUNTED = " \netaoinsrhldcumfpgwybvkxjqz" + UPPER + DIGITS + "+/-_"
+
+
+def _symbols(text: Column) -> Column:
+    """How often the text holds each symbol of COUNTED."""
+    start = F.struct(text.alias("rest"), F.array().cast("array<bigint>").alias("n"))
+    step = lambda acc, c: let(F.replace(acc["rest"], c, F.lit("")), lambda r: F.struct(r.alias("rest"), F.concat(acc["n"], F.array((F.octet_length(acc["rest"]) - F.octet_length(r)).cast("bigint"))).alias("n")))
+    return F.aggregate(F.array(*[F.lit(c) for c in COUNTED]), start, step, lambda acc: acc["n"])
+
+
+def ordinary_symbols(texts: DataFrame, found: DataFrame) -> dict[str, float]:
+    """Share of each symbol among the symbols of all whole texts (t) outside of the tokens ``found`` (an array with m each);
+    one more of each is counted, so none is zero."""
+    tokens = found.select(F.explode("found").alias("x")).select(_symbols(F.col("x.m")).alias("n"), F.lit(-1).alias("sign"))
+    everything = texts.select(_symbols(F.coalesce("t", F.lit(""))).alias("n"), F.lit(1).alias("sign")).unionByName(tokens)
+    # an outer explode, as Spark would compute the counts once more to leave out empty ones
+    rows = everything.select("sign", F.posexplode_outer("n").alias("i", "n")).groupBy("i").agg(F.sum(F.col("sign") * F.col("n")).alias("n")).collect()
+    counted = {COUNTED[r.i]: r.n for r in rows if r.i is not None}
+    total = sum(counted.get(c, 0) + 1 for c in SYMBOLS)
+    return {c: (counted.get(c, 0) + 1) / total for c in SYMBOLS}
+
+
+def _fresh(tokens: Column, base: Column) -> Column:
+    """Tokens that overlap no base span, from the furthest end before each and the nearest start after it."""
+    far = F.lit(-(2**31) + 1)
+
+    def apart(all_: Column) -> Column:
+        past = running(F.transform(all_, lambda x: F.when(x["r"] < 3, x["e"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        ahead = running(F.transform(F.reverse(all_), lambda x: F.when(x["r"] < 3, -x["s"]).otherwise(far)), far, lambda a, b: F.greatest(a, b))
+        with_past = F.zip_with(all_, past, lambda x, p: F.struct(x.alias("x"), p.alias("p")))
+        both = F.zip_with(with_past, F.reverse(ahead), lambda y, a: F.struct(y["x"].alias("x"), ((y["x"]["r"] == 3) & (y["p"] <= y["x"]["s"]) & (-a >= y["x"]["e"])).alias("free")))
+        return F.transform(F.filter(both, lambda y: y["free"]), lambda y: y["x"])
+
+    return F.when((F.size(tokens) == 0) | (F.size(base) == 0), tokens).otherwise(let(F.array_sort(F.concat(base, tokens)), apart))
+
+
+def scan_columns(docs: DataFrame, text: str, base: str, found: str) -> DataFrame:
+    """Adds ``base`` (base spans: s, r, e) and ``found`` (tokens outside of them: s, e, m)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    rules = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
-    staged = docs.withColumns({f"__{k}_m": F.regexp_extract_all(t, F.lit(p), F.lit(0)) for k, p in rules.items()})
-    some = lambda k: placed(F.col(f"__{k}_m"), F.split(t, rules[k], -1))
-    assign = F.filter(some("assign"), lambda x: F.length(F.regexp_extract(x["m"], f"^{ASSIGN}$", 2)) >= LEAST_ASSIGN)
-    base = F.array_sort(F.concat(_spans(assign, 0), _spans(some("access"), 1), _spans(some("hex"), 2)))
-    with_base = staged.withColumn("__base", base)
-    fresh = F.filter(some("random"), lambda x: ~F.exists(F.col("__base"), lambda b: (b["s"] < x["s"] + F.length(x["m"])) & (x["s"] < b["e"])))
-    tested = F.transform(fresh, lambda x: F.struct(
-        x["s"].alias("s"), (x["s"] + F.length(x["m"])).alias("e"), F.floor(F.log2(F.length(x["m"]).cast("double"))).cast("int").alias("c"),
-        F.least(F.lit(MOST_BIN), F.floor(-F.log10(randomness(x["m"])) * BINS).cast("int")).alias("b"),
-    ))
-    return with_base.withColumn("__tested", tested).drop(*[f"__{k}_m" for k in KINDS])
-
-
-def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """First bin of each length class whose tokens are called not random; reads at most 32 * (MOST_BIN + 1) counts."""
-    rows = scanned.select(F.explode("__tested").alias("x")).groupBy("x.c", "x.b").count().collect()
+    assign = F.filter(placed(t, "assign"), lambda x: F.length(F.regexp_extract(x["m"], f"^{ASSIGN}$", 2)) >= LEAST_ASSIGN)
+    tokens = F.filter(placed(t, "random"), lambda x: F.translate(F.rtrim(x["m"], F.lit("=")), DIGITS, "") != "")
+    staged = docs.withColumn(base, F.array_sort(F.concat(assign, placed(t, "access"), placed(t, "hex")))).withColumn(found, tokens)
+    spans = F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), x["e"].alias("e")))
+    narrow = F.transform(_fresh(F.col(found), F.col(base)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    return staged.withColumn(found, narrow).withColumn(base, spans)
+
+
+def judged(found: str, ordinary: dict[str, float]) -> Column:
+    """s, e, c (length class), b and ok of each token of an array (s, e, m)."""
+    verdict = f"named_struct('s', x_.s, 'e', x_.e, 'c', cast(floor(log2(length(x_.m))) as int), 'v', {tested('x_.m', ordinary)})"
+    flat = "named_struct('s', y_.s, 'e', y_.e, 'c', y_.c, 'b', y_.v.b, 'ok', y_.v.ok)"
+    return F.expr(f"transform(transform({found}, x_ -> {verdict}), y_ -> {flat})")
+
+
+def thresholds(found: DataFrame, column: str, fdr: float = FDR) -> dict[int, int]:
+    """First bin of each length class whose tokens are told from ordinary text; reads 32 * (MOST_BIN + 1) counts at most."""
+    rows = found.select(F.explode(column).alias("x")).groupBy("x.c", "x.b").count().collect()
     out: dict[int, int] = {}
     for c in {r.c for r in rows}:
         bins = sorted(((r.b, r["count"]) for r in rows if r.c == c), reverse=True)
@@ -135,13 +208,13 @@ def thresholds(scanned: DataFrame, fdr: float = FDR) -> dict[int, int]:
     return out
 
 
-def _found(limits: dict[int, int]) -> Column:
-    """All spans: base ones, and tested tokens that are not certainly not random."""
-    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else None
-    if limit is None:
-        return F.col("__base")
-    kept = F.filter("__tested", lambda x: x["b"] < F.coalesce(F.element_at(limit, x["c"]), F.lit(MOST_BIN + 1)))
-    return F.array_sort(F.concat("__base", F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("r"), x["e"].alias("e")))))
+def _all_spans(base: str, found: str, limits: dict[int, int]) -> Column:
+    """Base spans, and tested tokens that are random and not ordinary."""
+    if not limits:
+        return F.col(base)
+    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
+    kept = F.filter(found, lambda x: x["ok"] & (x["b"] >= F.coalesce(F.element_at(limit, x["c"]), F.lit(MOST_BIN + 1))))
+    return F.array_sort(F.concat(base, F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("r"), x["e"].alias("e")))))
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -150,11 +223,19 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     Starts and ends count code points, ends are exclusive. Null and empty texts have no spans; repeated rows give
     repeated results and count repeatedly in the false-discovery control; an empty table gives no rows; other columns
     are ignored, whatever their names. The rows without their texts are written once to the shared folder, as the
-    thresholds depend on all of them.
+    thresholds depend on all of them. A corpus whose texts hold next to no symbols has base spans only.
     """
     rows = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t"))
-    scanned = materialize(scan_columns(rows, "t").select("k", "__base", "__tested"), "secrets")
-    return scanned.select(F.col("k").alias(doc_id), F.col("__base").alias("base"), _found(thresholds(scanned)).alias("spans"))
+    scanned, _, limits = _scanned(rows, "k")
+    return scanned.select(F.col("k").alias(doc_id), "base", _all_spans("base", "found", limits).alias("spans"))
+
+
+def _scanned(rows: DataFrame, *keep: str) -> tuple[DataFrame, dict[str, float], dict[int, int]]:
+    """base and judged tokens of all rows (t), written without their texts; ordinary symbols; thresholds."""
+    first = materialize(scan_columns(rows, "t", "base", "found").select(*keep, "base", "found"), "secrets")
+    ordinary = ordinary_symbols(rows, first)
+    scanned = first.withColumn("found", judged("found", ordinary))
+    return scanned, ordinary, thresholds(scanned, "found")
 
 
 def named(spans: Column) -> Column:
@@ -163,13 +244,35 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(kinds, x["r"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with ``mask`` in place of spans; those that overlap or touch become one. Texts are cut in blocks of pieces,
+    so n spans in a text of m characters take m * n^0.5 steps."""
+
+    def kept(xs: Column) -> Column:
+        past = running(F.transform(xs, lambda x: x["e"]), F.lit(0), lambda a, b: F.greatest(a, b))
+        gaps = F.zip_with(xs, past, lambda x, p: F.struct(p.alias("s"), x["s"].alias("e")))
+        first = F.struct(F.lit(0).alias("s"), F.element_at(xs, 1)["s"].alias("e"))
+        inner = F.filter(F.slice(gaps, F.lit(2), F.size(gaps)), lambda g: g["e"] > g["s"])
+        last = F.struct(F.array_max(F.transform(xs, lambda x: x["e"])).alias("s"), F.length(text).alias("e"))
+        return F.concat(F.array(first), inner, F.array(last))
+
+    def joined(pieces: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(pieces))).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / wide).cast("int")), lambda i: F.slice(pieces, i * wide + 1, wide))
+        region = lambda b: F.substring(text, b[0]["s"] + 1, F.element_at(b, -1)["e"] - b[0]["s"])
+        inside = lambda b: let(region(b), lambda r: F.array_join(F.transform(b, lambda p: F.substring(r, p["s"] - b[0]["s"] + 1, p["e"] - p["s"])), mask))
+        return F.array_join(F.transform(cut, inside), mask)
+
+    return F.when(F.size(spans) > 0, let(kept(spans), joined)).otherwise(text)
+
+
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """The rows with every span of their text replaced by ``mask``; overlapping spans become one mask. Null stays null."""
-    scanned = scan_columns(docs, text)
-    limits = thresholds(scan_columns(docs.select(text), text).select("__tested"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(
-        x["e"].alias("at"), F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["s"] - acc["at"]), F.when((x["s"] == acc["at"]) & (acc["at"] > 0), F.lit("")).otherwise(F.lit(mask))).alias("out"),
-    )).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-    done = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    return scanned.withColumn("__spans", _found(limits)).withColumn(text, F.when(F.size("__spans") > 0, done).otherwise(F.col(text))).drop("__spans", "__base", "__tested")
+    """The rows with every span of their text replaced by ``mask``; overlapping and touching spans become one mask.
+
+    Null stays null; all other columns stay as they are, whatever their names. Texts are scanned twice, for the thresholds
+    and for the masks, as that moves no text between tasks.
+    """
+    base, found = "__secrets_base", "__secrets_found"
+    _, ordinary, limits = _scanned(docs.select(F.col(text).alias("t")))
+    again = scan_columns(docs, text, base, found).withColumn(found, judged(found, ordinary))
+    return again.withColumn(base, _all_spans(base, found, limits)).drop(found).withColumn(text, masked(F.col(text), F.col(base), mask)).drop(base)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import bounded_sample, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
+from tidewrack.llm.common import bounded_keys, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
 
 TRAIN_ROWS, TRAIN_CHARS = 10_000, 30_000_000
 SIZES, BITS = (3, 4, 5, 6), 20
@@ -126,9 +126,9 @@ def _descend(doc, feature, value, label, weight, n: int, steps: int = 120) -> tu
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAIN_ROWS, most_chars: int = TRAIN_CHARS) -> Model:
     """Fit on labelled rows whose id bucket is not 0. Null labels and ids are left out; of repeated labels the highest holds."""
     usable = labels.select(F.col(doc_id).alias("k"), F.col(toxic).cast("int").alias("y")).filter((id_bucket(F.col("k"), FOLDS) != 0) & F.col("y").isNotNull() & F.col("k").isNotNull())
-    chosen = bounded_sample(usable.groupBy("k").agg(F.max("y").alias("y")), "k", rows)
+    chosen = bounded_keys(usable.groupBy("k").agg(F.max("y").alias("y")), "k", rows)
     texts = docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    got = training_texts(texts.join(F.broadcast(chosen), "k").select("k", "text", "y"), most_chars)
+    got = training_texts(texts.join(F.broadcast(chosen), "k").select("k", "text", "y"), rows, most_chars)
     got = got.sort_by([("k", "ascending"), ("text", "ascending")])
     return fit(got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.float64) > 0)
 
