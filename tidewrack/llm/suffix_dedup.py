@@ -1,32 +1,38 @@
 """Removal of repeated byte strings by distributed prefix doubling, as for suffix arrays.
 
-Positions get ranks of growing prefixes: a rank of 2k bytes pairs two ranks of k bytes at offset k. Ranks are 64-bit
-hashes, which name equal strings without a global sort of every round; Spark brings equal ranks together, drops the
-positions whose rank is unique, and goes on with the others until the threshold of ``LENGTH`` bytes is passed.
-
-To keep the shuffles at the size of the input, a window of LENGTH bytes is represented by its anchor, the position in it
-whose rank of ``GRAM`` bytes is smallest (leftmost of equal ones): equal windows have equal anchors at equal offsets.
-Neighbouring windows with one anchor form a segment. Rounds:
-
-1. Ranks of GRAM bytes of all anchors are counted; unique ones are dropped, with all windows of their segments.
-2. The other segments are ranked as whole strings (LENGTH bytes and more). All windows of a segment that occurred before
-   are repeats. The first occurrence of each segment is settled if its anchor's rank has no other segment.
-3. The remaining first occurrences are cut into blocks of BLOCK windows, aligned to the anchor, and ranked by the CORE
-   bytes that the windows of a block share: unique ones are settled; blocks that occurred before as a whole are repeats.
-4. The windows of the remaining first blocks are ranked at LENGTH bytes; all but the first of each rank are repeats.
-
-Every round writes its small result to the shared folder and lets go of its shuffles, so that an executor's loss costs
-one round and the disk holds one round at a time. Joins are between written tables, so that skewed ranks can be split.
+Positions that may start a repeated string of ``LENGTH`` bytes are ranked by growing prefixes. Spark sorts the pairs
+(rank of the first k bytes, rank of the k bytes at offset k) of all of them, equal pairs get one dense rank of 2k bytes,
+positions whose rank is unique are dropped, and so on until LENGTH is passed. All but the first position of each rank of
+LENGTH bytes are repeats.
+
+Ranking every byte of a corpus would shuffle some 16 bytes for each, so positions are sifted before. A window of LENGTH
+bytes is represented by its anchor, the position in it whose hash of ``GRAM`` bytes is smallest (leftmost of equal ones):
+equal windows have equal anchors at equal offsets. Neighbouring windows with one anchor form a segment.
+
+1. Grams of all anchors are counted; unique ones are dropped, with all windows of their segments.
+2. Segments that are equal as a whole are repeats of the first one, which goes on only if its gram has another segment.
+3. The segments that go on are cut into blocks of BLOCK windows, aligned to the anchor. Blocks that are equal as a whole are
+   repeats of the first; it goes on if another block shares the CORE bytes that the windows of a block have in common.
+4. The windows of the blocks that go on are the positions that prefix doubling ranks: at 32 bytes by their grams, then at
+   64, then, with an offset of 36, at 100.
+
+Segments and blocks are equal where two 64-bit hashes are, of different parts; ranks of 100 bytes are equal where the
+hashes of four overlapping grams are. Every round writes its small result to the shared folder and lets go of its
+shuffles, so that an executor's loss costs one round and the disk holds one round at a time. Joins are between written
+tables, so that skewed ranks can be split.
 """
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewrack.llm.common import blocks, forget, materialize, release, small_batches, string_buffers
 
 LENGTH, GRAM, BLOCK = 100, 32, 8
+#: Rows of one range when ranks are sorted.
+RANGE_ROWS = 1 << 20
 CORE = LENGTH - BLOCK + 1
 SPAN = LENGTH - GRAM + 1
 CHUNK = 1 << 16
@@ -130,12 +136,31 @@ def block_rows(text: bytes, packed: np.ndarray) -> tuple[np.ndarray, ...]:
     return group, core, whole, (a - far) << 7 | (far - near + 1)
 
 
-def window_rows(text: bytes, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank and place of each window of the given blocks of one text."""
-    rank = ranks(np.frombuffer(text, np.uint8))
+def pair_rows(text: bytes, packed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First pairs of one text, at the start of each window of the given blocks and where later rounds ask for ranks: rank
+    of the gram there, rank of the next gram, whether a window starts there, and the place."""
+    grams = ranks(np.frombuffer(text, np.uint8), GRAM)[GRAM]
     start, count = packed >> 7, packed & 127
-    at = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return windows(rank, at), at
+    at = np.unique(np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    asked = np.unique(np.concatenate([at + x for x in asked_offsets()]))
+    return grams[asked], grams[asked + GRAM], np.isin(asked, at).astype(np.int64), asked
+
+
+def rounds() -> list[int]:
+    """Offset of each round: ranks of k bytes at it make ranks of k + offset bytes, from GRAM up to LENGTH."""
+    out, k = [], GRAM
+    while k < LENGTH:
+        out.append(min(k, LENGTH - k))
+        k += out[-1]
+    return out
+
+
+def asked_offsets() -> list[int]:
+    """Distances from the start of a window at which rounds after the first need ranks."""
+    found = {0}
+    for offset in rounds()[1:]:
+        found |= {x + offset for x in found}
+    return sorted(found)
 
 
 def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -149,7 +174,7 @@ def _longs(*names: str) -> pa.Schema:
 
 _SEGMENT = _longs("h", "s", "k", "th", "p")
 _BLOCK = _longs("g", "c", "b", "k", "th", "p")
-_WINDOW = _longs("w", "k", "th", "p")
+_PAIR = _longs("r", "next", "own", "k", "th", "p")
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -201,6 +226,48 @@ def _open(firsts: DataFrame, by: list[str]) -> DataFrame:
     return firsts.join(shared, by, "left_semi").select("f.k", "f.th", "f.p")
 
 
+def _numbered(batches):
+    """Rows of a sorted range with the number of the range and their own number in it."""
+    place, done = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.num_rows
+        numbers = [pa.array(np.full(n, place, np.int64)), pa.array(np.arange(done, done + n, dtype=np.int64))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *numbers], schema=_longs(*batch.schema.names, "range", "at"))
+        done += n
+
+
+def dense_ranks(keys: DataFrame, *names: str) -> DataFrame:
+    """Different keys (bigint columns) with their rank in sorted order: Spark sorts them in ranges, whose sizes are summed."""
+    spark = keys.sparkSession
+    n = max(-(-keys.count() // RANGE_ROWS), min(32, spark.sparkContext.defaultParallelism), 1)
+    sorted_ = keys.repartitionByRange(n, *names).sortWithinPartitions(*names)
+    placed = materialize(sorted_.mapInArrow(_numbered, _ddl(_longs(*names, "range", "at"))), "order")
+    sizes = sorted(tuple(r) for r in placed.groupBy("range").agg(F.count("*")).collect())  # one for each range
+    starts = np.cumsum([0] + [m for _, m in sizes]).tolist()
+    before = spark.createDataFrame([(k, a) for (k, _), a in zip(sizes, starts, strict=False)], "range bigint, before bigint")
+    return placed.join(F.broadcast(before), "range").select(*names, (F.col("before") + F.col("at")).alias("rank"))
+
+
+def ranked(pairs: DataFrame) -> DataFrame:
+    """Positions (r, own, k, th, p) of pairs (r, next, own, k, th, p): equal pairs get one dense rank in sorted order, those
+    whose pair is unique are dropped."""
+    shared = materialize(pairs.groupBy("r", "next").agg(F.count("*").alias("n")).filter("n > 1").select("r", "next"), "shared")
+    order = materialize(dense_ranks(shared, "r", "next"), "order")
+    found = materialize(pairs.join(order, ["r", "next"]).select(F.col("rank").alias("r"), "own", "k", "th", "p"), "positions")
+    forget(shared)
+    forget(order)
+    release(pairs.sparkSession)
+    return found
+
+
+def doubled(positions: DataFrame, offset: int) -> DataFrame:
+    """Pairs of the rank of each position and the rank at ``offset`` from it; positions without one there are dropped."""
+    after = positions.select(F.col("r").alias("next"), "k", "th", (F.col("p") - offset).alias("p"))
+    pairs = materialize(positions.join(after, ["k", "th", "p"]).select("r", "next", "own", "k", "th", "p"), "pairs")
+    release(positions.sparkSession)
+    return pairs
+
+
 def _spans(rows: DataFrame, start, count) -> DataFrame:
     return rows.select("k", "th", start.cast("int").alias("s"), (start + count + (LENGTH - 1)).cast("int").alias("e"))
 
@@ -212,7 +279,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     grams = docs.select("t").mapInArrow(_anchors_of, _ddl(_longs("h")))
     shared = step(grams.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "ranks")
-    segments = step(docs.select("k", "th", "t").mapInArrow(_segments_of, _ddl(_SEGMENT)).join(shared.hint("shuffle_hash"), "h"), "segments")
+    segments = step(docs.select("k", "th", "t").mapInArrow(_segments_of, _ddl(_SEGMENT)).join(shared, "h"), "segments")
     forget(shared)
     whole = step(_first(segments, "h", "s"), "wholes")
     start, count = F.shiftright("p", 14), F.shiftright("p", 7).bitwiseAND(127)
@@ -220,7 +287,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     forget(segments)
 
     listed = lambda places: places.groupBy("k", "th").agg(F.collect_list("p").alias("x"))
-    within = lambda places: docs.join(listed(places).hint("shuffle_hash"), ["k", "th"]).select("k", "th", "t", "x")
+    within = lambda places: docs.join(listed(places), ["k", "th"]).select("k", "th", "t", "x")
     todo = step(_open(whole, ["h"]), "open")
     forget(whole)
     cut = step(within(todo).mapInArrow(_within(_BLOCK, block_rows), _ddl(_BLOCK)), "blocks")
@@ -232,11 +299,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     todo = step(_open(parts, ["g", "c"]), "open")
     forget(parts)
-    ranked = step(within(todo).mapInArrow(_within(_WINDOW, window_rows), _ddl(_WINDOW)), "windows")
+    pairs = step(within(todo).mapInArrow(_within(_PAIR, pair_rows), _ddl(_PAIR)), "pairs")
     forget(todo)
-    firsts = step(_first(ranked, "w"), "firsts")
-    spans.append(step(_spans(_later(ranked, firsts, "w"), F.col("p"), F.lit(1)), "spans"))
-    for x in (ranked, firsts):
+    at = ranked(pairs)
+    forget(pairs)
+    for offset in rounds()[1:]:
+        pairs = doubled(at, offset)
+        forget(at)
+        at = ranked(pairs)
+        forget(pairs)
+    starts = at.filter("own = 1")
+    firsts = step(_first(starts, "r"), "firsts")
+    spans.append(step(_spans(_later(starts, firsts, "r"), F.col("p"), F.lit(1)), "spans"))
+    for x in (at, firsts):
         forget(x)
     return spans[0].union(spans[1]).union(spans[2])
 
@@ -277,5 +352,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = base.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("k"), F.xxhash64("t").alias("th"), "t")
     spans = repeated_spans(rows.select("k", "th", "t"))
     found = spans.groupBy("k", "th").agg(F.collect_list(F.struct("s", "e")).alias("x"))
-    done = rows.join(found.hint("shuffle_hash"), ["k", "th"], "left").select("id", F.arrow_udf(_kept, RESULT)("t", "x").alias("r"))
+    done = rows.join(found, ["k", "th"], "left").select("id", F.arrow_udf(_kept, RESULT)("t", "x").alias("r"))
     return done.select(F.col("id").alias(doc_id), "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept")
