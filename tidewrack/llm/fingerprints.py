@@ -1,8 +1,9 @@
 """Document fingerprints: a canonical exact digest, with DataFrame and SQL functions only.
 
-Texts are normalised (NFKC, lower case, NFKC), runs of white space fold to one space, and the ends are trimmed. The
-digest is two differently salted 64-bit xxhashes of that. Documents with equal digests are grouped and compared byte by
-byte; where a group holds different canonical texts, their digests are extended by a cryptographic one.
+Texts are normalised (NFKC) and case-folded twice over, which is Unicode's caseless form, runs of white space fold to one
+space, and the ends are trimmed. The digest is two differently salted 64-bit xxhashes of that. Documents with equal
+digests are grouped and compared byte by byte; where a group holds different canonical texts, their digests are extended
+by a cryptographic one.
 """
 
 from __future__ import annotations
@@ -10,16 +11,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import materialize
+from tidewrack.llm.common import forget, materialize
 
 #: Ids in one range of the ordering, and ranges at most (this bounds what is broadcast).
 RANGE_ROWS, MOST_RANGES = 50_000, 20_000
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, NFKC again, folded and trimmed white space; null counts as empty."""
+    """Case-folded NFKC, folded and trimmed white space; null counts as empty. ASCII texts need lower case only."""
+    t = F.coalesce(text, F.lit(""))
     nfkc = lambda c: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    folded = nfkc(F.lower(nfkc(F.coalesce(text, F.lit("")))))
+    fold = lambda c: F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))
+    folded = F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(nfkc(fold(nfkc(fold(nfkc(t))))))
     return F.trim(F.regexp_replace(folded, r"[\s\p{Z}\x85]+", " "))
 
 
@@ -53,6 +56,13 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return placed.withColumn("inside", inside).join(F.broadcast(after), "pid").select("k", "need", F.coalesce("inside", "after").alias("nxt"))
 
 
+def _extended(rows: DataFrame, fp: str, text: str, clashes: DataFrame) -> DataFrame:
+    """The rows with the digests in ``clashes`` extended by a cryptographic digest of the canonical text."""
+    marked = rows.join(clashes.select(F.col("fp").alias(fp), F.lit(True).alias("clash")), fp, "left")
+    longer = F.concat(fp, F.lit("-"), F.sha2(canonical(F.col(text)).cast("binary"), 256))
+    return marked.withColumn(fp, F.when(F.col("clash"), longer).otherwise(F.col(fp))).drop("clash")
+
+
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, as the contract of op3 words it.
 
@@ -60,32 +70,37 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     count as empty; repeated ids share their next document, and where the next id repeats, its row with the smallest
     (needed prefix, fingerprint) is taken; rows with a null id have themselves as the next document; other columns are
     ignored; an empty table gives no rows.
-    """
-    base = docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    marked = base.withColumn("fp", digest(canonical(F.col("t"))))
-    known = marked.filter("k IS NOT NULL")
-    by_id = known.repartition("k")
-    ids = base.filter("k IS NOT NULL").groupBy("k").agg(F.max(F.floor(F.length("t") / 3)).cast("int").alias("need"))
-    links = materialize(next_ids(ids), "next")
-
-    counts = materialize(marked.groupBy("fp").count().filter("count > 1").select("fp"), "shared")
-    repeated = materialize(known.select("k", "fp").join(counts, "fp", "left_semi").select("k").distinct(), "repeated")
-    texts = by_id.join(repeated, "k", "left_semi").select("fp", canonical(F.col("t")).alias("c"))
-    clashes = colliding(texts).agg(F.collect_set("fp")).scalar()
-
-    def exact(fp: str, of: Column) -> Column:
-        return F.when(F.array_contains(clashes, F.col(fp)), F.concat(F.col(fp), F.lit("-"), F.sha2(canonical(of).cast("binary"), 256))).otherwise(F.col(fp))
 
+    Canonical forms of all texts are made once, for a narrow table of digests, and once more of edited texts and of texts
+    that share a digest. Texts are shuffled once by id, beside the prefixes that the rows before them ask for.
+    """
+    base = docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+    prints = materialize(base.select("k", "th", digest(canonical(F.col("t"))).alias("fp"), F.length("t").alias("n")), "prints")
+    known = prints.filter("k IS NOT NULL")
+    links = materialize(next_ids(known.groupBy("k").agg(F.max(F.floor(F.col("n") / 3)).cast("int").alias("need"))), "next")
+
+    by_id = base.filter("k IS NOT NULL").repartition("k")
+    shared = materialize(prints.groupBy("fp").count().filter("count > 1").select("fp"), "shared")
+    repeated = materialize(known.join(shared, "fp", "left_semi").select("k", "th", "fp").distinct(), "repeated")
+    texts = by_id.join(repeated, ["k", "th"]).select("fp", canonical(F.col("t")).alias("c"))
+    clashes = materialize(colliding(texts), "colliding")
+    clashing = not clashes.isEmpty()
+    forget(shared)
+    forget(repeated)
+    extended = lambda rows, fp, of: _extended(rows, fp, of, clashes) if clashing else rows
+
+    own = extended(by_id.join(known.select("k", "th", "fp").distinct(), ["k", "th"]), "fp", "t")
     asked = links.select(F.col("nxt").alias("k"), F.col("k").alias("asker"), "need")
-    nexts = by_id.join(asked, "k").select("asker", F.struct(F.expr("substring(t, 1, need)").alias("p"), exact("fp", F.col("t")).alias("fp")).alias("n")).groupBy("asker").agg(F.min("n").alias("n"))
-    joined = by_id.join(nexts.select(F.col("asker").alias("k"), F.col("n.p").alias("p"), F.col("n.fp").alias("next_fp")), "k", "left")
-    alone = marked.filter("k IS NULL").select("k", "t", "fp", F.expr("substring(t, 1, int(floor(length(t) / 3)))").alias("p"), exact("fp", F.col("t")).alias("next_fp"))
+    nexts = own.join(asked, "k").select("asker", F.struct(F.expr("substring(t, 1, need)").alias("p"), F.col("fp").alias("fp")).alias("n")).groupBy("asker").agg(F.min("n").alias("n"))
+    joined = own.join(nexts.select(F.col("asker").alias("k"), F.col("n.p").alias("p"), F.col("n.fp").alias("next_fp")), "k", "left")
+    alone = extended(base.filter("k IS NULL").withColumn("fp", digest(canonical(F.col("t")))), "fp", "t")
+    alone = alone.select("k", "t", "fp", F.expr("substring(t, 1, int(floor(length(t) / 3)))").alias("p"), F.col("fp").alias("next_fp"))
     rows = joined.select("k", "t", "fp", "p", "next_fp").unionByName(alone).withColumn("n", F.length("t"))
     edited = rows.select("k", "t", "n", "fp", "next_fp", F.expr("concat(substring(t, 1, n - int(floor(n / 3))), substring(p, 1, int(floor(n / 3))))").alias("e"))
-    out = edited.withColumn("efp", digest(canonical(F.col("e"))))
-    out = out.select("k", "n", "e", "next_fp", exact("fp", F.col("t")).alias("fp"), exact("efp", F.col("e")).alias("efp"))
-    likeness = lambda a, b: (F.col(a) == F.col(b)).cast("double")
+    out = extended(edited.withColumn("efp", digest(canonical(F.col("e")))), "efp", "e")
+    same = F.col("fp") == F.col("efp")
+    equal = F.when(same, canonical(F.col("t")) == canonical(F.col("e"))).otherwise(F.lit(False))
     return out.select(
-        F.col("k").alias(doc_id), F.col("n").cast("bigint").alias("n_chars"), F.col("e").alias("edited"), F.col("fp").alias("fingerprint"),
-        F.col("efp").alias("edited_fingerprint"), likeness("fp", "efp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),
+        F.col("k").alias(doc_id), F.col("n").cast("bigint").alias("n_chars"), F.col("e").alias("edited"), F.col("fp").alias("fingerprint"), F.col("efp").alias("edited_fingerprint"),
+        equal.cast("double").alias("near_edited"), (F.col("fp") == F.col("next_fp")).cast("double").alias("near_next"),
     )
