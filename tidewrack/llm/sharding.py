@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import ship
+from tidewrack.llm.common import materialize, ship
 
 #: Multiplier of the 64-bit linear congruential generator in the published algorithm.
 LCG = np.uint64(2862933555777941757)
@@ -56,25 +56,26 @@ def assign_shards(rows: DataFrame, key: str = "doc_id", text: str = "text", shar
     the shard and get slots of their own; a null key counts as 0; an empty table gives no rows; other columns of the
     input are ignored, whatever their names.
 
-    Slots: rows of a shard are dealt over hash groups of the key, ranked in each group, and lifted by the sizes of the
-    groups before, so that no task ranks a whole shard.
+    Slots: rows of a shard are dealt over groups by a hash of the row and its number in the scan, so that rows of one key
+    are spread like others, ranked in each group, and lifted by the sizes of the groups before. No task ranks a whole
+    shard. The narrow rows are written once, as that number must not change between the sizes and the ranks.
     """
     ship(rows.sparkSession)
     text_bytes = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    groups = max(2, math.ceil(rows.count() / (shards * GROUP_ROWS)), math.ceil(512 / shards))
     narrow = rows.select(
         F.col(key).alias("k"),
         (F.octet_length(text_bytes) + 1).cast("bigint").alias("size"),
         F.crc32(text_bytes).alias("text_crc32"),
-        shard_of(F.col(key), shards).alias("shard"),
-        shard_of(F.col(key), shards + 1).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    groups = max(2, math.ceil(rows.count() / (shards * GROUP_ROWS)), math.ceil(512 / shards))
-    sub = F.pmod(F.xxhash64("k"), F.lit(groups))
-    sizes = rows.select(shard_of(F.col(key), shards).alias("shard"), F.col(key).alias("k")).groupBy("shard", sub.alias("sub")).count()
+    placed = narrow.select("*", shard_of(F.col("k"), shards).alias("shard"), shard_of(F.col("k"), shards + 1).alias("grown_shard"), F.pmod(F.xxhash64("k", "row"), F.lit(groups)).alias("sub"))
+    placed = materialize(placed, "shards")
+    sizes = placed.groupBy("shard", "sub").count()
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("shard", "sub").orderBy("k", "text_crc32", "size")
-    ranked = narrow.withColumn("sub", sub).withColumn("at", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy("shard", "sub").orderBy("k", "text_crc32", "row")
+    ranked = placed.withColumn("at", F.row_number().over(inside) - 1)
     return ranked.join(starts, ["shard", "sub"]).select(
         F.col("k").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard",
         (F.col("start") + F.col("at")).cast("bigint").alias("slot"), "grown_shard",
