@@ -3,8 +3,9 @@
 Pieces come from the vocabulary's split pattern. The pieces that are new to a worker are merged together, in a
 contiguous array of adjacent ranks with a row for each short piece: the minimum of each row is found by a scan, its
 boundary is deleted, and the ranks beside it are refreshed, until no row has a rank left. A long piece, for which
-scanning would be quadratic, takes the same merges from a heap over linked boundaries. Vocabularies are parsed on the
-driver and broadcast as arrays, whose size the vocabulary file bounds.
+scanning would be quadratic, takes the same merges from a heap over linked boundaries, a very long one rank by rank from
+arrays of places, which take some 40 bytes a byte. Vocabularies are parsed on the driver and broadcast as arrays, whose
+size the vocabulary file bounds.
 """
 
 import heapq
@@ -20,10 +21,11 @@ from pyspark.sql import functions as F
 
 from tidewrack.llm.common import list_array, per_worker, small_batches
 
-#: Pieces of more bytes are merged with a heap.
-SHORT = 64
-#: Pieces and units a worker remembers; beyond it the memory starts anew.
-CACHE = 200_000
+#: Pieces of more bytes are merged with a heap, and of more than LONG rank by rank.
+SHORT, LONG = 64, 1 << 14
+#: Bytes of pieces and units that a worker remembers, with their ids; beyond it the memory starts anew. Longer units than
+#: LONGEST characters are forgotten at once. An entry costs ENTRY bytes beside its own.
+CACHE_BYTES, LONGEST, ENTRY = 48 << 20, 256, 200
 #: The split pattern of the vocabulary, and Unicode's White_Space characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -49,6 +51,15 @@ class Vocabulary:
         self.byte_ids, self.token_bytes, self.token_at, self.special = byte_ids, token_bytes, token_at, special
         self._byte_ranks = None
 
+    def rising(self) -> bool:
+        """Whether all merges that take a token have a higher rank than those that make it."""
+        n = int(max(self.merged.max(initial=0), (self.pairs & 0xFFFFFFFF).max(initial=0), (self.pairs >> 32).max(initial=0))) + 1
+        made, used = np.full(n, -1, np.int64), np.full(n, len(self.ranks), np.int64)
+        np.maximum.at(made, self.merged, self.ranks)
+        for part in (self.pairs >> 32, self.pairs & 0xFFFFFFFF):
+            np.minimum.at(used, part, self.ranks)
+        return bool((made < used).all())
+
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
         with open(path, encoding="utf-8") as f:
@@ -162,6 +173,48 @@ def merge_long(vocab: Vocabulary, piece: bytes) -> bytes:
     return np.array([p for p in parts if p >= 0], np.int32).tobytes()
 
 
+def merge_by_rank(vocab: Vocabulary, piece: bytes) -> bytes:
+    """Ids of one very long piece: ranks in rising order, all places of one at once, leftmost first where they overlap. This
+    is the order of single merges if ranks rise from a token's merge to those that take it (``Vocabulary.rising``)."""
+    parts = vocab.byte_ids[np.frombuffer(piece, np.uint8)].astype(np.int32)
+    n = len(parts)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    places: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def add(at: np.ndarray) -> None:
+        at = at[after[at] < n]
+        ranks, _ = vocab.rank(parts[at], parts[after[at]])
+        at, ranks = at[ranks != NONE], ranks[ranks != NONE]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        cut = np.flatnonzero(np.diff(ranks, prepend=-1))
+        for r, group in zip(ranks[cut].tolist(), np.split(at, cut[1:]), strict=False):
+            if r not in places:
+                heapq.heappush(heap, r)
+            places.setdefault(r, []).append(group)
+
+    add(np.arange(n - 1, dtype=np.int32))
+    by_rank = np.argsort(vocab.ranks)
+    while heap:
+        r = heapq.heappop(heap)
+        key, m = int(vocab.pairs[by_rank[r]]), vocab.merged[by_rank[r]]
+        at = np.unique(np.concatenate(places.pop(r)))
+        at = at[(parts[at] == key >> 32) & (after[at] < n)]
+        at = at[parts[after[at]] == key & 0xFFFFFFFF]
+        if key >> 32 == key & 0xFFFFFFFF and len(at):  # every other one of a run
+            first = np.concatenate([[True], after[at[:-1]] != at[1:]])
+            start = np.flatnonzero(first)[np.cumsum(first) - 1]
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+        gone = after[at]
+        parts[at], parts[gone] = m, -1
+        after[at] = after[gone]
+        inside = after[at] < n
+        before[after[at][inside]] = at[inside]
+        add(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+    return parts[parts >= 0].tobytes()
+
+
 class Encoder:
     """Encodes texts with a bounded memory of units: pieces where a plain pattern can tell them, else runs to be split.
 
@@ -173,20 +226,22 @@ class Encoder:
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab = vocab
         self.units: dict[str, bytes] = {}
+        self.held, self.rising = 0, vocab.rising()
         self.split = regex.compile(PATTERN.replace(r"\s\p", f"{SPACE}\\p").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")).findall
         letters, marks = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba", "!-&(-/:-@\\[-`{-~"
         self.unit = re.compile(f" ?[{letters}]+(?=[\0-@\\[-`{{-\x7f]|\\Z)| ?[{marks}]+(?=[A-Za-z0-9 \n]|\\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
 
-    def learn(self, units: set[str]) -> None:
-        """Merge the pieces of units that are not known yet."""
+    def learn(self, units: set[str]) -> list[str]:
+        """Merge the pieces of units that are not known yet; all that is new."""
         have = self.units
         cut = {u: p for u in units if not (u.isalpha() or u[1:].isalpha() and u[0] == " ") and len(p := self.split(u)) > 1}
         groups: dict[int, list[tuple[str, bytes]]] = {}
-        for p in {p for x in cut.values() for p in x if p not in have}.union(units.difference(cut)):
+        new = {p for x in cut.values() for p in x if p not in have}.union(units.difference(cut))
+        for p in new:
             raw = p.encode("utf-8", "surrogatepass")
             if len(raw) > SHORT:
-                have[p] = merge_long(self.vocab, raw)
+                have[p] = (merge_by_rank if len(raw) > LONG and self.rising else merge_long)(self.vocab, raw)
             else:
                 groups.setdefault(-(-len(raw) // 4), []).append((p, raw))
         for group in groups.values():
@@ -195,15 +250,26 @@ class Encoder:
                 have.update(zip([p for p, _ in part], merge_short(self.vocab, [r for _, r in part]), strict=True))
         for u, x in cut.items():
             have[u] = b"".join([have[p] for p in x])
+        return [*new, *cut]
+
+    def trim(self, new: list[str]) -> None:
+        """Keep the memory in its bounds."""
+        for u in new:
+            ids = self.units[u]
+            if len(u) > LONGEST:
+                del self.units[u]
+            else:
+                self.held += ENTRY + 2 * len(u) + len(ids)
+        if self.held > CACHE_BYTES:
+            self.units.clear()
+            self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as int32 bytes; special strings take their own ids."""
         parts = [self.special.split(t) if self.special and t else [t] for t in texts]
         cut = [[self.unit(x) if k % 2 == 0 else x for k, x in enumerate(p)] for p in parts]
-        if len(self.units) > CACHE:
-            self.units.clear()
-        if new := set().union(*(x for p in cut for x in p[::2])).difference(self.units):
-            self.learn(new)
+        new = set().union(*(x for p in cut for x in p[::2])).difference(self.units)
+        learned = self.learn(new) if new else []
         get = self.units.__getitem__
         out = []
         for p in cut:
@@ -211,6 +277,7 @@ class Encoder:
             for k in range(1, len(p), 2):
                 ids += np.int32(self.vocab.special[p[k]]).tobytes() + b"".join(map(get, p[k + 1]))
             out.append(ids)
+        self.trim(list(dict.fromkeys(learned)))
         return out
 
 
