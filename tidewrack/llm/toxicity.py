@@ -3,7 +3,7 @@
 A text's features are the n-grams (3 to 6 characters, lower-cased, with everything but letters and digits as a space)
 that it holds at least once. Their log-count ratios between toxic and other labelled texts scale the inputs of a
 logistic regression (Wang and Manning, 2012). Only the n-grams whose ratio carries most weight are kept, so that a
-score is a sum over few hits. The classifier is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` rows and
+score is a sum over few hits: as many as make ``HITS_PER_TEXT`` of them in a training text on average. The classifier is fitted on a bounded sample of labelled rows (``TRAIN_ROWS`` rows and
 ``TRAIN_CHARS`` characters at most); every whole text is scored.
 """
 
@@ -18,8 +18,9 @@ from tidewrack.llm.common import bounded_keys, codes, id_bucket, ngram_hashes, p
 
 TRAIN_ROWS, TRAIN_CHARS = 10_000, 30_000_000
 SIZES, BITS = (3, 4, 5, 6), 20
-#: Features kept, their occurrences in training texts, least number of texts that hold one, weight of the squared norm.
-KEPT, MOST_HITS, LEAST_TEXTS, RIDGE = 1 << 15, 2_000_000, 4, 1e-3
+#: Features kept at most, their occurrences for each training text on average, least number of texts that hold one, weight
+#: of the squared norm, and occurrences that a step of the descent takes at a time.
+KEPT, HITS_PER_TEXT, LEAST_TEXTS, RIDGE, PART = 1 << 15, 200, 4, 1e-3, 1 << 20
 #: Characters taken at a time.
 CHUNK = 200_000
 FOLDS = 5
@@ -91,29 +92,44 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     ratio[seen.sum(0) < LEAST_TEXTS] = 0
     spread = np.abs(ratio) * np.sqrt(seen.sum(0))
     kept = np.argsort(-spread, kind="stable")[:KEPT]
-    kept = kept[(spread[kept] > 0) & (np.cumsum(seen.sum(0)[kept]) <= MOST_HITS)]
+    kept = kept[(spread[kept] > 0) & (np.cumsum(seen.sum(0)[kept]) <= HITS_PER_TEXT * len(texts))]
     place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    hits = [(doc, np.unique(place[x[place[x] >= 0]])) for doc, x in _grams(texts)]
-    doc = np.repeat(np.array([d for d, _ in hits], np.int32), [len(f) for _, f in hits])
-    feature = np.concatenate([f for _, f in hits]).astype(np.int32)
-    del hits
-    value = ratio[kept].astype(np.float32)[feature]
+    doc, feature = _hits(texts, place)
     weight = np.where(toxic == 1, len(toxic) / (2 * n[1]), len(toxic) / (2 * n[0])) / len(toxic)
-    beta, bias = _descend(doc, feature, value, toxic, weight, len(kept))
+    beta, bias = _descend(doc, feature, ratio[kept], toxic, weight)
     out = np.zeros(1 << BITS, np.float32)
     out[kept] = beta * ratio[kept]
     return Model(out, bias)
 
 
-def _descend(doc, feature, value, label, weight, n: int, steps: int = 120) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by accelerated gradient steps with adaptive scales."""
+def _hits(texts: list[str], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and number (by ``place``) of every kept n-gram that a text holds."""
+    docs, features = [], []
+    for doc, x in _grams(texts):
+        found = np.unique(place[x])
+        found = found[found >= 0]
+        docs.append(np.full(len(found), doc, np.int32))
+        features.append(found.astype(np.uint16 if KEPT <= 1 << 16 else np.int32))
+    return np.concatenate(docs), np.concatenate(features)
+
+
+def _descend(doc, feature, ratio, label, weight, steps: int = 120) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression on features of the values ``ratio``, by accelerated gradient steps with adaptive
+    scales. Occurrences are taken PART at a time, so only they themselves grow with the sample."""
+    parts = [slice(a, a + PART) for a in range(0, len(doc), PART)]
+    n = len(ratio)
     beta, bias = np.zeros(n), 0.0
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(doc, value * beta[feature], len(label)) + bias
+        own = ratio * beta
+        z = np.full(len(label), bias)
+        for p in parts:
+            z += np.bincount(doc[p], own[feature[p]], len(label))
         gap = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - label) * weight
-        g = np.bincount(feature, value * gap[doc], n) + RIDGE * beta
+        g = RIDGE * beta
+        for p in parts:
+            g += ratio * np.bincount(feature[p], gap[doc[p]], n)
         gb = gap.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
