@@ -2,8 +2,8 @@
 
 A text is a mixture of languages: its character trigrams (lower-cased letters, everything else as a space) are drawn
 from the languages' trigram distributions in unknown proportions, which expectation-maximisation estimates. The set of
-languages is selected by penalised likelihood: starting from all, the language of the smallest share is taken out as
-long as the Bayesian information criterion improves. The language of the largest share is the prediction. The
+languages is selected by penalised likelihood: starting from all that have a thousandth of the text, the language of the
+smallest share is taken out as long as the Bayesian information criterion improves. The language of the largest share is the prediction. The
 distributions are counted on a bounded sample of rows of known language (``TRAIN_ROWS`` rows, ``TRAIN_CHARS``
 characters at most); every whole text is predicted.
 """
@@ -20,7 +20,7 @@ from tidewrack.llm.common import codes, id_bucket, ngram_hashes, per_worker, sma
 TRAIN_ROWS, TRAIN_CHARS = 12_000, 30_000_000
 SIZES, BITS = (3,), 14
 SMOOTHING = 0.5
-#: Steps of expectation-maximisation at most, the change of shares at which it ends, and the least share kept.
+#: Steps of expectation-maximisation at most, the change of shares at which it ends, and the least share looked at.
 STEPS, CHANGE, LEAST_SHARE = 40, 1e-4, 1e-3
 CHUNK = 200_000
 FOLDS, HELD_OUT = 4, 2
@@ -43,6 +43,9 @@ class Model:
         base = float(count @ np.log(scale))
         here = np.arange(len(self.langs))
         share, fit = _shares(p, count)
+        if (share < LEAST_SHARE).any():  # at once: one by one, many languages would take time by their square
+            here = np.flatnonzero(share >= LEAST_SHARE)
+            share, fit = _shares(p[:, here], count)
         best, fit = (here, share), fit + base - 0.5 * np.log(n) * (len(here) - 1)
         while len(here) > 1:
             here = np.delete(here, share.argmin())
