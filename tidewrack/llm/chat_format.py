@@ -46,7 +46,7 @@ LAYOUTS = [
     Layout("system prompt", ("system", "prompt", "response"), fixed=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("question", ("question", "answer"), fixed=(("user", "question"), ("assistant", "answer"))),
 ]
-#: Names of speakers, as text, and the canonical roles.
+#: Names of speakers in lists of turns, as text, and the canonical roles. A row's role is kept as it is.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -82,15 +82,16 @@ def canonical_turns(records: DataFrame, record: str, conv: str | None = None, la
 
     ``conv``: column that identifies a record's conversation where its layout has no such field. Records of an unknown
     layout, and null records, give one row with a null layout and null turn, so that nothing is lost unseen. Null texts
-    become empty, null roles too; nulls in optional lists give no turns.
+    become empty, null roles too; nulls in optional lists give no turns. Other columns of the records' table are ignored,
+    whatever their names; an empty table gives no rows.
     """
     shape = fingerprint(field_paths(F.col(record)))
     get = lambda path, kind: F.try_variant_get(F.col(record), path, kind)
     role = lambda r: F.coalesce(*[F.when(r == k, F.lit(v)) for k, v in ROLES.items()], r, F.lit(""))
-    turn = lambda at, who, said: F.struct(at.cast("bigint").alias("turn"), role(who).alias("role"), F.coalesce(said, F.lit("")).alias("text"))
+    turn = lambda at, who, said: F.struct(at.cast("bigint").alias("turn"), who.alias("role"), F.coalesce(said, F.lit("")).alias("text"))
 
     def listed(x: Layout):
-        return lambda v, i: turn(i, F.try_variant_get(v, f"$.{x.role}", "string"), F.try_variant_get(v, f"$.{x.text}", "string"))
+        return lambda v, i: turn(i, role(F.try_variant_get(v, f"$.{x.role}", "string")), F.try_variant_get(v, f"$.{x.text}", "string"))
 
     turns = F.lit(None).cast("array<struct<turn: bigint, role: string, text: string>>")
     name, group = F.lit(None).cast("string"), F.col(conv).cast("bigint") if conv else F.lit(None).cast("bigint")
@@ -100,7 +101,7 @@ def canonical_turns(records: DataFrame, record: str, conv: str | None = None, la
         elif x.fixed:
             made = F.array(*[turn(F.lit(i), F.lit(who), get(f"$.{field}", "string")) for i, (who, field) in enumerate(x.fixed)])
         else:
-            made = F.array(turn(get(f"$.{x.turn}", "bigint"), get(f"$.{x.role}", "string"), get(f"$.{x.text}", "string")))
+            made = F.array(turn(get(f"$.{x.turn}", "bigint"), F.coalesce(get(f"$.{x.role}", "string"), F.lit("")), get(f"$.{x.text}", "string")))
         here = shape == fingerprint(F.lit(_schema_shape(x)))
         turns, name = F.when(here, made).otherwise(turns), F.when(here, F.lit(x.name)).otherwise(name)
         if x.conversation:
