@@ -31,6 +31,25 @@ def test_jump_hash_moves_only_into_the_new_shard(keys, n):
     assert ((a >= 0) & (a < n)).all() and ((a == b) | (b == n)).all()
 
 
+@given(st.integers(-(2**63), 2**63 - 1), st.integers(1, 3000))
+@settings(max_examples=200, deadline=None)
+def test_jump_hash_equals_the_published_loop(key, n):
+    state, b, j = key % 2**64, -1, 0
+    while j < n:
+        b = j
+        state = (state * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (float(1 << 31) / float((state >> 33) + 1)))
+    assert sharding.jump_hash(np.array([key], np.int64), n).tolist() == [b]
+
+
+def test_slots_of_one_repeated_key(spark, monkeypatch):
+    """No group holds much of a key that has most of the rows."""
+    rows = spark.range(30_000).select(F.when(F.col("id") < 27_000, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.assign_shards(rows)
+    assert got.groupBy("shard").agg((F.max("slot") - F.count("*")).alias("x"), F.countDistinct("slot").alias("n"), F.count("*").alias("m")).filter("x <> -1 OR n <> m").count() == 0
+    assert got.groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).filter("n > 1").count() == 0
+
+
 def test_jump_hash_is_even():
     assert np.bincount(sharding.jump_hash(np.arange(32_000), 16)).min() > 1800
 
@@ -70,10 +89,30 @@ def test_bpe_of_long_pieces(library, encoder):
 
 
 def test_bpe_forgets_and_goes_on(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 700)
+    monkeypatch.setattr(bpe, "LONGEST", 4)
     e = bpe.Encoder(bpe.Vocabulary.load(vocabulary_path()))
     for text in ("one two three four five", "two six seven eight", "one two"):
         assert bpe.encode_array(e, pa.array([text])).to_pylist() == [library.encode(text).ids]
+        assert e.held <= 700 and all(len(u) <= 4 for u in e.units)
+
+
+def test_bpe_of_very_long_pieces(library, encoder, monkeypatch):
+    """Ranks in rising order give the same ids as single merges; a piece of 2 MB takes bounded memory."""
+    import tracemalloc
+
+    assert encoder.rising
+    rng = random.Random(4)
+    monkeypatch.setattr(bpe, "LONG", 70)
+    texts = ["x" * 300, "a" * 301, "ab" * 200 + "aab" * 50, "日本語" * 90, "".join(rng.choice("etaoinshr") for _ in range(5000)), "".join(rng.choice("aab") for _ in range(999)), "".join(chr(rng.randrange(0x4E00, 0x5000)) for _ in range(800))]
+    assert bpe.encode_array(encoder, pa.array(texts)).to_pylist() == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(1 << 20)) + "word" * (1 << 18)
+    tracemalloc.start()
+    ids = bpe.encode_array(encoder, pa.array([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bpe.decode_array(encoder.vocab, ids).to_pylist() == [text]
+    assert peak < 200 * len(text) and not any(len(u) > bpe.LONGEST for u in encoder.units)
 
 
 def test_tokenize(spark, library):
