@@ -66,6 +66,16 @@ def test_other_values(spark):
     assert one(spark, "SAMEA123", T.accession_level) == "biosample"
 
 
+@pytest.mark.parametrize("table", [(1, 4999, 499999, 495000), (5, 1495, 50000, 50000), (700, 4300, 90000, 910000), (2000, 30, 20, 200000), (400, 4600, 90000, 910000), (3000, 10**6, 2900, 10**6)])
+def test_fisher_of_many_papers(spark, table):
+    a, b, c, d = table
+    lg = lambda x: math.lgamma(x + 1)
+    terms = [lg(a + b) + lg(c + d) + lg(a + c) + lg(b + d) - lg(a + b + c + d) - lg(a + k) - lg(b - k) - lg(c - k) - lg(d + k) for k in range(min(b, c) + 1)]
+    p = min(1.0, math.exp(max(terms)) * sum(math.exp(t - max(terms)) for t in terms))
+    df = spark.createDataFrame([table], "a bigint, b bigint, c bigint, d bigint")
+    assert math.isclose(df.select(stats.fisher_greater(*[F.col(c) for c in "abcd"]).alias("p")).first()["p"], p, rel_tol=1e-5, abs_tol=1e-300)
+
+
 @pytest.mark.parametrize("table", [(8, 2, 1, 5), (3, 4, 5, 6), (12, 30, 20, 200), (1, 0, 0, 900), (0, 4, 4, 4), (3, -1, 4, 4)])
 def test_fisher(spark, table):
     a, b, c, d = table

@@ -48,6 +48,17 @@ def test_sinks(spark, tmp_path):
     assert {p.name for p in (tmp_path / "by").iterdir() if p.is_dir()} == {"k=a", "k=b"}
 
 
+def test_lines_of_many_files_keep_their_order(spark, tmp_path):
+    """The last record of a key is the one of the last file by name, though small files are packed by size."""
+    for i in range(12):
+        write(tmp_path / f"part-{i:02}.jsonl", "".join(json.dumps({"k": "a", "v": 100 * i + j, "pad": "x" * (997 * i % 5000)}) + "\n" for j in range(3)))
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.IntegerType())])
+    got = files.json_lines(spark, str(tmp_path), schema, ["k"]).collect()
+    assert [(r.k, r.v) for r in got] == [("a", 1102)]
+    every = [r.v for r in files.json_lines(spark, str(tmp_path), schema).orderBy("ord").collect()]
+    assert every == [100 * i + j for i in range(12) for j in range(3)]
+
+
 def test_synonyms(spark):
     g = spark.createDataFrame([(0, "x", ["y", "z"]), (1, "y", ["z", "w"]), (2, "v", None)], "ord int, canonical string, aliases array<string>")
     assert {(r.alias, r.canonical) for r in files.synonyms(g).collect()} == {("x", "x"), ("y", "y"), ("z", "x"), ("w", "y"), ("v", "v")}
@@ -86,3 +97,15 @@ def test_compressed_chain_and_targets(spark):
     sections = spark.createDataFrame([(1,), (2,)], "section int")
     hits = spark.createDataFrame([(1, "t2")], "section int, target string")
     assert {tuple(r) for r in targets_or_all(pairs, sections, hits, "section", "target").collect()} == {(1, "t2"), (2, "t1"), (2, "t2")}
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    """Without its commit a batch is played again, and its rows are there once."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    spark.range(5).select(F.col("id").alias("key")).write.parquet(source)
+    for _ in range(2):
+        checkpoints.file_stream(spark, source, "key bigint", lambda df: df, out, state)
+        commits = tmp_path / "state" / "commits"
+        for f in commits.iterdir():
+            f.unlink()
+        assert spark.read.parquet(out).count() == 5

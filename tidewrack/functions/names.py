@@ -23,7 +23,7 @@ FORMULAS = "nh4 nh3 no2 no3 no nox po4 p2o5 so4 so3 s2 co2 co3 hco3 sio2 sio4 ch
 
 # Names that are always accepted, forms of values, instruments and makers, prefixes of experiments, plurals.
 SCIENTIFIC = "ph doc don dop dic poc pon pop nh4 no3 no2 po4 so4 h2s co2 o2 toc ton tdn tn tp tdp chl_a chla par ntu bod cod tss tds do ec sal sst sss orp eh dom pom din dip srp".split()
-VALUE_FORMS = [r"^\d+[.,]?\d*$", r"^\d{1,2}[_\-/]\w+[_\-/]\d{2,4}$", r"^\d{4}[_\-]\d{2}[_\-]\d{2}$", r"^\d+[.,]?\d*\s*[mMgGkKlL][gGmMlLmM]?$"]
+VALUE_FORMS = [r"^\d+[.,]?\d*$", r"^\d{1,2}[_\-/]\w+[_\-/]\d{2,4}$", r"^\d{4}[_\-]\d{2}[_\-]\d{2}$", r"(?i)^-?\d+[.,]?\d*\s*°\s*[cfnesw]", r"^-?\d+[.,]?\d*°", r"^[><≤≥±]\s*\d", r"^\d+[.,]?\d*\s*[µuμmMgGkKlL][gGmMlLmM]?$"]
 INSTRUMENTS = "zeiss sigma invitrogen thermo agilent illumina niskin qubit nanodrop bioanalyzer qiagen promega bd_biosciences beckman waters shimadzu".split()
 EXPERIMENTS = "growth_ incubation_ optimum_ storage_ treatment_ cultivation_ induction_".split()
 PLURALS = {

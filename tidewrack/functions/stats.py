@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidewrack import constants as K
@@ -34,27 +34,41 @@ def category(h: Column, share: Column, papers: Column, h_univ: float = K.H_UNIVE
     )
 
 
-def log_factorials(df: DataFrame, most: int) -> DataFrame:
-    """n and ln(n!) for n up to ``most``, as running sums (a table of a known number of rows)."""
-    from pyspark.sql import Window
+def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """M3: one-sided p-value of [[a, b], [c, d]]: sum of the hypergeometric terms from a up; 1 for a <= 0 or a negative cell.
 
-    return df.sparkSession.range(most + 1).select(F.col("id").alias("n"), F.when(F.col("id") > 0, F.ln(F.col("id"))).otherwise(0.0).alias("x")).select("n", F.sum("x").over(Window.orderBy("n")).alias("lf"))
+    From a beyond the mode, terms are summed upwards, else those below a downwards, and taken from 1: so the first term is
+    the largest, the others follow by their ratio, and they vanish within a few standard deviations, whatever the counts.
+    """
+    cell = F.struct(*[x.cast("double").alias(n) for x, n in ((a, "a"), (b, "b"), (c, "c"), (d, "d"))])
+    return F.transform(F.array(cell), lambda x: _tail(x["a"], x["b"], x["c"], x["d"]))[0]
 
 
-def fisher_greater(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """M3: one-sided p-value of [[a, b], [c, d]]: sum of the hypergeometric terms from a up; 1 for a <= 0 or a negative
-    cell. Terms are taken from each other by their ratio, so that only the first needs log-gamma sums."""
-    lg = lambda x: _lgamma(x + 1)
+def _tail(a: Column, b: Column, c: Column, d: Column) -> Column:
     n = a + b + c + d
-    first = F.exp(lg(a + b) + lg(c + d) + lg(a + c) + lg(b + d) - lg(n) - lg(a) - lg(b) - lg(c) - lg(d))
-    steps = F.least(b, c).cast("int")
-    acc = F.struct(first.alias("t"), first.alias("s"))
-    more = F.aggregate(
-        F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), acc,
-        lambda x, k: F.struct((x["t"] * (b - k + 1) * (c - k + 1) / ((a + k) * (d + k))).alias("t"), (x["s"] + x["t"] * (b - k + 1) * (c - k + 1) / ((a + k) * (d + k))).alias("s")),
-        lambda x: x["s"],
-    )
-    return F.when((a <= 0) | (b < 0) | (c < 0) | (d < 0), 1.0).otherwise(F.least(F.lit(1.0), more))
+    mode = F.floor((a + b + 1) * (a + c + 1) / (n + 2))
+    spread = (a + b) * (c + d) * (a + c) * (b + d) / (n * n * F.greatest(n - 1, F.lit(1.0)))
+    reach = F.lit(20) + F.ceil(12 * F.sqrt(spread))
+
+    def log_term(p, q, r, s):
+        lg = lambda x: _lgamma(x + 1)
+        return lg(p + q) + lg(r + s) + lg(p + r) + lg(q + s) - lg(p + q + r + s) - lg(p) - lg(q) - lg(r) - lg(s)
+
+    def total(steps, ratio):
+        """1 + r(1) + r(1) r(2) + ... over at most ``steps`` terms."""
+        acc = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+        take = F.least(steps, reach).cast("int")
+        return F.aggregate(
+            F.when(take > 0, F.sequence(F.lit(1), take)).otherwise(F.array().cast("array<int>")), acc,
+            lambda x, k: F.struct((x["t"] * ratio(k)).alias("t"), (x["s"] + x["t"] * ratio(k)).alias("s")), lambda x: x["s"],
+        )
+
+    up = F.exp(log_term(a, b, c, d)) * total(F.least(b, c), lambda k: (b - k + 1) * (c - k + 1) / ((a + k) * (d + k)))
+    # one less in a: (a - 1, b + 1, c + 1, d - 1), from which terms go down while a and d last
+    below = F.exp(log_term(a - 1, b + 1, c + 1, d - 1)) * total(F.least(a - 1, d - 1), lambda k: (a - k) * (d - k) / ((b + 1 + k) * (c + 1 + k)))
+    down = 1 - F.when(d >= 1, below).otherwise(0.0)
+    inside = F.when(a >= mode, up).otherwise(down)
+    return F.when((a <= 0) | (b < 0) | (c < 0) | (d < 0), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside)))
 
 
 def _lgamma(x: Column) -> Column:

@@ -73,7 +73,8 @@ def similar_forms(x: Column, y: Column, s: Column, t: Column) -> Column:
     smaller = F.when(F.length(x) < F.length(y), x).otherwise(y)
     larger = F.when(F.length(x) < F.length(y), y).otherwise(x)
     inside = (short > 0) & F.contains(larger, smaller) & (short / long >= K.SUBSTRING_RATIO)
-    return (x == y) | ((F.size(s) > 0) & (F.size(t) > 0) & (jaccard >= K.TOKEN_JACCARD)) | (F.levenshtein(x, y) <= cap) | inside
+    edits = F.call_function("levenshtein", x, y, cap)  # -1 beyond the cap, where it stops counting
+    return (x == y) | inside | ((long - short <= cap) & (edits >= 0)) | ((F.size(s) > 0) & (F.size(t) > 0) & (jaccard >= K.TOKEN_JACCARD))
 
 
 def qk_variants(c: Column) -> Column:

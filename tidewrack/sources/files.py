@@ -1,7 +1,7 @@
 """JSON, JSON lines, delimited and plain text sources, and sinks. Paths are any that Spark can read; schemas are declared.
 
-Readers that must keep the order of lines number them by file and position (``ord``): the order within one file is the
-file's, and files come in the order of their names.
+Readers that must keep the order of lines number them (``ord``) by the name of the file, the start of the block that a
+task reads, and the position in it: the order of ``ord`` is that of the lines, however Spark packs files into tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from tidewrack.operators.ranking import last_wins
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn("ord", at)
 
 
 def json_array(spark: SparkSession, path: str, schema) -> DataFrame:
