@@ -26,24 +26,41 @@ def alias_index(names: DataFrame, alias: str, target: str, ordinal: str) -> Data
 def overlap_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, least: float, smaller: bool = True, last: Column | None = None) -> DataFrame:
     """Best match of each left row by shared tokens over the size of the smaller (or larger) token set.
 
-    An equi-join on tokens: pairs without a shared token never meet. Ties: rows with ``last`` come last, then by id.
+    An equi-join on tokens: pairs without a shared token never meet. Equal token sets meet once, however many rows have
+    them; the best row of a right set stands for it. Ties: rows with ``last`` come last, then by id.
     """
-    a = left.select(left_id, F.size(F.array_distinct(tokens)).alias("na"), F.explode(F.array_distinct(tokens)).alias("token"))
-    b = right.select(right_id, F.size(F.array_distinct(tokens)).alias("nb"), F.explode(F.array_distinct(tokens)).alias("token"))
+    rows = lambda df: df.withColumn("__set", F.array_sort(F.array_distinct(tokens)))
+    own, other = rows(left.select(left_id, tokens)), rows(right.select(right_id, tokens, (last if last is not None else F.lit(0)).alias("__last")))
+    best = other.groupBy("__set").agg(F.min(F.struct("__last", right_id)).alias("best"))
+    a = own.select("__set").distinct().select(F.col("__set").alias("sa"), F.size("__set").alias("na"), F.explode("__set").alias("token"))
+    b = best.select(F.col("__set").alias("sb"), "best", F.size("__set").alias("nb"), F.explode("__set").alias("token"))
     n = F.least("na", "nb") if smaller else F.greatest("na", "nb")
-    scored = a.join(b, "token").groupBy(left_id, right_id, "na", "nb").agg(F.count("*").alias("shared")).withColumn("score", F.col("shared") / n)
-    order = [F.col("score").desc(), *([last] if last is not None else []), F.col(right_id)]
-    return top(scored.filter(F.col("score") >= least), [left_id], order, 1).select(left_id, right_id, "score")
+    scored = a.join(b, "token").groupBy("sa", "sb", "best", "na", "nb").agg(F.count("*").alias("shared")).withColumn("score", F.col("shared") / n)
+    found = top(scored.filter(F.col("score") >= least), ["sa"], [F.col("score").desc(), F.col("best")], 1)
+    return own.join(found.select(F.col("sa").alias("__set"), F.col(f"best.{right_id}").alias(right_id), "score"), "__set").select(left_id, right_id, "score")
+
+
+#: Names of one block of a bucket.
+BLOCK = 256
 
 
 def similar_pairs(names: DataFrame, bucket: str, name: str) -> DataFrame:
-    """Pairs of different names of one bucket that are similar (see ``functions.text.similar``)."""
-    forms = names.select(bucket, F.col(name), T.comparable(F.col(name)).alias("__x"))
-    forms = forms.select(bucket, name, "__x", T.name_tokens(F.col("__x")).alias("__t")).repartition(bucket)
-    a = forms.select(bucket, F.col(name).alias("a"), F.col("__x").alias("xa"), F.col("__t").alias("ta"))
-    b = forms.select(bucket, F.col(name).alias("b"), F.col("__x").alias("xb"), F.col("__t").alias("tb"))
-    pairs = a.join(b, (a[bucket] == b[bucket]) & (F.col("a") < F.col("b")) & T.similar_forms(F.col("xa"), F.col("xb"), F.col("ta"), F.col("tb")))
-    return pairs.select(a[bucket], "a", "b")
+    """Pairs of different names of one bucket that are similar (see ``functions.text.similar``).
+
+    Names of equal comparable forms are pairs without a comparison; different forms are compared once, whatever names have
+    them. The forms of a bucket are dealt over blocks, each of which meets all forms of the bucket in a task of its own.
+    """
+    made = names.select(bucket, F.col(name).alias("__n"), T.comparable(F.col(name)).alias("__x"))
+    forms = made.select(bucket, "__x").distinct().withColumn("__t", T.name_tokens(F.col("__x")))
+    parts = forms.groupBy(bucket).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("__parts"))
+    sized = forms.join(parts, bucket)
+    a = sized.select(bucket, F.pmod(F.xxhash64("__x"), F.col("__parts")).cast("int").alias("__block"), F.col("__x").alias("xa"), F.col("__t").alias("ta"))
+    b = sized.select(bucket, F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__block"), F.col("__x").alias("xb"), F.col("__t").alias("tb"))
+    near = a.join(b, [bucket, "__block"]).filter((F.col("xa") < F.col("xb")) & T.similar_forms(F.col("xa"), F.col("xb"), F.col("ta"), F.col("tb"))).select(bucket, "xa", "xb")
+    same = forms.select(bucket, F.col("__x").alias("xa"), F.col("__x").alias("xb"))
+    left, right = (made.select(bucket, F.col("__x").alias(x), F.col("__n").alias(n)) for x, n in (("xa", "p"), ("xb", "q")))
+    pairs = near.union(same).join(left, [bucket, "xa"]).join(right, [bucket, "xb"]).filter("xa < xb OR p < q")
+    return pairs.select(bucket, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def set_overlap(old: DataFrame, new: DataFrame, group: str, member: str) -> DataFrame:

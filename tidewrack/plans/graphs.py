@@ -17,7 +17,7 @@ def _edges(spark, sf_dir):
     named = _bucketed(spark, sf_dir)
     pairs = similar_pairs(named, "p_brand", "name")
     node = lambda c: F.concat_ws("/", "p_brand", c)
-    return named.select(node("name").alias("node")), pairs.filter("length(a) < length(b) + 2").select(node("a").alias("a"), node("b").alias("b"))
+    return named.select(node("name").alias("node")), pairs.select(node("a").alias("a"), node("b").alias("b"))
 
 
 def g1_components(spark, sf_dir):
@@ -26,15 +26,15 @@ def g1_components(spark, sf_dir):
 
 
 def g1_constrained(spark, sf_dir):
-    """Star edges of the customers of an order day, kept where the market segments agree; refused edges are counted."""
-    o = load(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    """Star edges of the customers of all orders of a group, kept where the market segments agree; refused edges are counted."""
+    o = load(spark, sf_dir, "orders")
     groups = o.select((F.col("o_orderkey") % 900).alias("g"), F.col("o_custkey").alias("m"), F.col("o_orderkey").alias("pos"))
     marked = G.allowed(G.star_edges(groups, "g", "m", "pos"), load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment")
     return marked.groupBy("ok").agg(F.count("*").alias("n_edges"))
 
 
 def g1_constrained_components(spark, sf_dir):
-    o = load(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    o = load(spark, sf_dir, "orders")
     groups = o.select((F.col("o_orderkey") % 900).alias("g"), F.col("o_custkey").alias("m"), F.col("o_orderkey").alias("pos"))
     keys = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     edges = G.allowed(G.star_edges(groups, "g", "m", "pos"), keys, "c_custkey", "c_mktsegment").filter("ok").select("a", "b")
@@ -77,7 +77,7 @@ def m17_centroids(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (g1_components, g1_constrained, g1_constrained_components, g7_path_compress, g8_families, w16_knn, a42_knn_purity, v5_misplaced, m17_centroids)}
-STARS = "g AS (SELECT o_orderkey % 900 AS g, o_custkey AS m, o_orderkey AS pos FROM orders WHERE o_orderpriority = '1-URGENT'{w}), pv AS (SELECT g, arg_min(m, pos) AS a FROM g GROUP BY g), st AS (SELECT DISTINCT a, m AS b FROM g JOIN pv USING (g) WHERE a <> m), ok AS (SELECT a, b, x.c_mktsegment IS NOT DISTINCT FROM y.c_mktsegment AS ok FROM st JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b)"
+STARS = "g AS (SELECT o_orderkey % 900 AS g, o_custkey AS m, o_orderkey AS pos FROM orders), pv AS (SELECT g, arg_min(m, pos) AS a FROM g GROUP BY g), st AS (SELECT DISTINCT a, m AS b FROM g JOIN pv USING (g) WHERE a <> m), ok AS (SELECT a, b, x.c_mktsegment IS NOT DISTINCT FROM y.c_mktsegment AS ok FROM st JOIN customer x ON x.c_custkey = a JOIN customer y ON y.c_custkey = b)"
 COSINE = "nn AS (SELECT x.vec_id, y.vec_id AS other, x.label, y.label AS near, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS cosine, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 12) DESC, y.vec_id) AS rn FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id), k AS (SELECT * FROM nn WHERE rn <= 5)"
 
 
@@ -86,9 +86,9 @@ def _sql() -> dict[str, str]:
 
     pairs = JOINS["j11_bucket_similarity"]
     return {
-        "g1_components": "WITH RECURSIVE pr AS (" + pairs + "), ed AS (SELECT p_brand || '/' || a AS a, p_brand || '/' || b AS b FROM pr WHERE length(a) < length(b) + 2), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), nd AS (SELECT DISTINCT x.p_brand || '/' || x.name AS node FROM (" + pairs.split("SELECT x.p_brand, x.name AS a")[0] + "SELECT DISTINCT p_brand, name FROM names) x), reach AS (SELECT node, node AS r FROM nd UNION SELECT reach.node, bo.b FROM reach JOIN bo ON bo.a = reach.r) SELECT node, min(r) AS component FROM reach GROUP BY node",
-        "g1_constrained": "WITH " + STARS.format(w="") + " SELECT ok, count(*) AS n_edges FROM ok GROUP BY ok",
-        "g1_constrained_components": "WITH RECURSIVE " + STARS.format(w=" AND o_orderstatus = 'F'") + ", bo AS (SELECT a, b FROM ok WHERE ok UNION SELECT b, a FROM ok WHERE ok), reach AS (SELECT DISTINCT a AS node, a AS r FROM bo UNION SELECT reach.node, bo.b FROM reach JOIN bo ON bo.a = reach.r), c AS (SELECT node, min(r) AS component FROM reach GROUP BY node) SELECT component, count(*) AS n FROM c GROUP BY component HAVING count(*) > 1",
+        "g1_components": "WITH RECURSIVE pr AS (" + pairs + "), ed AS (SELECT p_brand || '/' || a AS a, p_brand || '/' || b AS b FROM pr), bo AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), nd AS (SELECT DISTINCT x.p_brand || '/' || x.name AS node FROM (" + pairs.split("SELECT x.p_brand, x.name AS a")[0] + "SELECT DISTINCT p_brand, name FROM names) x), reach AS (SELECT node, node AS r FROM nd UNION SELECT reach.node, bo.b FROM reach JOIN bo ON bo.a = reach.r) SELECT node, min(r) AS component FROM reach GROUP BY node",
+        "g1_constrained": "WITH " + STARS + " SELECT ok, count(*) AS n_edges FROM ok GROUP BY ok",
+        "g1_constrained_components": "WITH RECURSIVE " + STARS + ", bo AS (SELECT a, b FROM ok WHERE ok UNION SELECT b, a FROM ok WHERE ok), reach AS (SELECT DISTINCT a AS node, a AS r FROM bo UNION SELECT reach.node, bo.b FROM reach JOIN bo ON bo.a = reach.r), c AS (SELECT node, min(r) AS component FROM reach GROUP BY node) SELECT component, count(*) AS n FROM c GROUP BY component HAVING count(*) > 1",
         "g7_path_compress": "WITH RECURSIVE w AS (SELECT p_partkey AS s, p_partkey // 3 AS t FROM part WHERE p_partkey > 4 UNION ALL SELECT s, t // 3 FROM w WHERE t > 4) SELECT s, min(t) AS t FROM w GROUP BY s",
         "g8_families": "WITH p AS (SELECT p_partkey AS key, list_append(string_split(lower(p_name), ' '), lower(p_type)) AS tokens FROM part), x AS (SELECT key, unnest(tokens) AS anchor, generate_subscripts(tokens, 1) AS pos FROM p), h AS (SELECT anchor FROM x GROUP BY anchor HAVING count(*) % 2 = 0), y AS (SELECT x.* FROM x JOIN h USING (anchor)), l AS (SELECT key, max(pos) AS last FROM y GROUP BY key), z AS (SELECT key, anchor, bool_or(pos = last) AS pr FROM y JOIN l USING (key) GROUP BY ALL) SELECT anchor, count(*) AS n, count(*) FILTER (pr) AS n_primary FROM z GROUP BY anchor",
         "w16_knn": "WITH " + COSINE + " SELECT vec_id, other, rn, round(cosine, 4) AS cosine FROM k",

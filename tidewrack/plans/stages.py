@@ -73,8 +73,8 @@ def w5d_tiered_evidence(spark, sf_dir):
 def j9_label_matching(spark, sf_dir):
     """Labels to names: exact, else in lower case, else by shared words."""
     p = load(spark, sf_dir, "part")
-    names = p.filter("p_partkey < 30").groupBy("p_name").agg(F.min("p_partkey").alias("acc"))
-    labels = p.select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.concat(F.lit("big "), "p_name")).alias("label")).distinct()
+    names = p.groupBy("p_name").agg(F.min("p_partkey").alias("acc"))
+    labels = p.select(F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.upper("p_name")).otherwise(F.concat(F.lit("big "), "p_name")).alias("label")).union(p.select("p_brand")).distinct()
     exact = labels.join(names.select(F.col("p_name").alias("label"), F.col("acc").alias("a")), "label", "left")
     low = exact.join(names.groupBy(F.lower("p_name").alias("k")).agg(F.min("acc").alias("b")), F.lower("label") == F.col("k"), "left").drop("k")
     fuzzy = overlap_join(labels.withColumn("t", F.split(F.lower("label"), " ")), names.select("acc", F.split(F.lower("p_name"), " ").alias("t")), "label", "acc", "t", 0.5).select("label", F.col("acc").alias("c"))
@@ -84,7 +84,7 @@ def j9_label_matching(spark, sf_dir):
 def j7_skeleton(spark, sf_dir):
     """Customers as samples with their nation; nations gather the names of a few of them, and alias priority."""
     c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
-    x = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).filter("c_acctbal > 9000")
+    x = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     few = R.top(x, ["n_name"], [F.col("c_name")], 10).groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ";").alias("hints"))
     sizes = x.groupBy("n_name").agg(F.count("*").alias("n"))
     return sizes.join(few, "n_name")
@@ -119,7 +119,7 @@ def j26_missing_syntax(spark, sf_dir):
     """Targets with and without a syntax; merged with suggestions."""
     p = load(spark, sf_dir, "part")
     targets = p.select("p_brand", "p_type").distinct()
-    syntax = p.filter("p_partkey < 60").groupBy("p_brand", "p_type").agg(F.min("p_name").alias("syntax"))
+    syntax = p.groupBy("p_brand", F.when(F.col("p_size") <= 45, F.lower("p_type")).otherwise(F.col("p_type")).alias("p_type")).agg(F.min("p_name").alias("syntax"))
     auto = targets.join(syntax, ["p_brand", "p_type"], "left")
     suggested = auto.filter("syntax IS NULL").select("p_brand", "p_type", F.lit("suggested").alias("syntax"))
     merged = auto.filter("syntax IS NOT NULL").unionByName(suggested)
@@ -180,7 +180,7 @@ def g3_signature_merge(spark, sf_dir):
 
 def g5_pair_proposals(spark, sf_dir):
     """Pairs of components of a bucket, at least one of them single, where a bucket has few enough of them."""
-    c = load(spark, sf_dir, "customer").filter("c_acctbal > 9500").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"), F.min("c_custkey").alias("k"))
+    c = load(spark, sf_dir, "customer").groupBy("c_nationkey", F.floor(F.col("c_acctbal") / 50).alias("part")).agg(F.count("*").alias("n"), F.min("c_custkey").alias("k"))
     a, b = c.select("c_nationkey", F.col("k").alias("a"), F.col("n").alias("na")), c.select("c_nationkey", F.col("k").alias("b"), F.col("n").alias("nb"))
     return a.join(b, "c_nationkey").filter("a < b AND (na = 1 OR nb = 1)").select("c_nationkey", "a", "b")
 
@@ -255,12 +255,12 @@ def _sql() -> dict[str, str]:
         "a23_canonical_assembly": "WITH g AS (SELECT p_brand, split_part(p_name, ' ', 2) AS component, CAST(sum(p_partkey % 50) AS BIGINT) AS env_a, CAST(sum(p_size % 20) AS BIGINT) AS env_b, count(DISTINCT p_name) AS n_members, array_to_string(list_sort(list_distinct(list(replace(p_name, ' ', '_')))), '|') AS members FROM part GROUP BY ALL) SELECT *, round(CASE WHEN env_a + env_b > 0 THEN " + h2(["env_a", "env_b"]) + " ELSE 0 END, 6) AS h_norm FROM g",
         "w8_candidates": "WITH a AS (SELECT DISTINCT p_type AS key, split_part(p_name, ' ', 1) AS token FROM part), b AS (SELECT canonical, unnest(string_split(canonical, ' ')) AS token FROM (SELECT DISTINCT p_name AS canonical FROM part)), s AS (SELECT key, canonical, count(*) AS shared FROM a JOIN b USING (token) GROUP BY ALL) SELECT key, canonical, rn FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY shared DESC, canonical) AS rn FROM s) WHERE rn <= 3",
         "w5d_tiered_evidence": "WITH e AS (SELECT event_type AS key, user_id AS paper, event_id AS ord, event_id % 3 + 1 AS tier, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS a FROM events) SELECT key, paper, tier, ord FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier, ord) AS b FROM e WHERE a = 1) WHERE b <= 2",
-        "j9_label_matching": "WITH n AS (SELECT p_name, min(p_partkey) AS acc FROM part WHERE p_partkey < 30 GROUP BY p_name), l AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE 'big ' || p_name END AS label FROM part), f AS (SELECT label, acc, row_number() OVER (PARTITION BY label ORDER BY len(list_intersect(string_split(lower(label), ' '), string_split(p_name, ' '))) / least(len(string_split(label, ' ')), 2) DESC, acc) AS rn FROM l, n WHERE len(list_intersect(string_split(lower(label), ' '), string_split(p_name, ' '))) / least(len(string_split(label, ' ')), 2) >= 0.5) SELECT l.label, coalesce(a.acc, b.acc, f.acc) AS acc, CASE WHEN a.acc IS NOT NULL THEN 'exact' WHEN b.acc IS NOT NULL THEN 'case' WHEN f.acc IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS how FROM l LEFT JOIN n a ON a.p_name = l.label LEFT JOIN n b ON b.p_name = lower(l.label) LEFT JOIN f ON f.label = l.label AND rn = 1",
-        "j7_skeleton": "WITH x AS (SELECT n_name, c_name, row_number() OVER (PARTITION BY n_name ORDER BY c_name) AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000) SELECT n_name, count(*) AS n, string_agg(c_name, ';' ORDER BY rn) FILTER (rn <= 10) AS hints FROM x GROUP BY n_name",
+        "j9_label_matching": "WITH n AS (SELECT p_name, min(p_partkey) AS acc FROM part GROUP BY p_name), l AS (SELECT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE 'big ' || p_name END AS label FROM part UNION SELECT p_brand FROM part), f AS (SELECT label, acc, row_number() OVER (PARTITION BY label ORDER BY len(list_intersect(string_split(lower(label), ' '), string_split(p_name, ' '))) / least(len(string_split(label, ' ')), 2) DESC, acc) AS rn FROM l, n WHERE len(list_intersect(string_split(lower(label), ' '), string_split(p_name, ' '))) / least(len(string_split(label, ' ')), 2) >= 0.5) SELECT l.label, coalesce(a.acc, b.acc, f.acc) AS acc, CASE WHEN a.acc IS NOT NULL THEN 'exact' WHEN b.acc IS NOT NULL THEN 'case' WHEN f.acc IS NOT NULL THEN 'fuzzy' ELSE 'none' END AS how FROM l LEFT JOIN n a ON a.p_name = l.label LEFT JOIN n b ON b.p_name = lower(l.label) LEFT JOIN f ON f.label = l.label AND rn = 1",
+        "j7_skeleton": "WITH x AS (SELECT n_name, c_name, row_number() OVER (PARTITION BY n_name ORDER BY c_name) AS rn FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT n_name, count(*) AS n, string_agg(c_name, ';' ORDER BY rn) FILTER (rn <= 10) AS hints FROM x GROUP BY n_name",
         "j16_target_pool": "SELECT target, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_linestatus AS target FROM lineitem) WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE year(o_orderdate) >= 1997) AND l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY target",
         "j23_traceability": "WITH f AS (SELECT l_partkey, min(l_suppkey) AS s FROM lineitem GROUP BY l_partkey) SELECT p_brand, CASE WHEN s IS NULL THEN 'no supplier' WHEN s_suppkey IS NULL THEN 'supplier dropped' WHEN n_nationkey IS NULL THEN 'nation dropped' ELSE 'kept' END AS reason, count(*) AS n FROM part LEFT JOIN f ON l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = s AND s_acctbal > 0 LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey < 4 GROUP BY ALL",
         "j24_alias_union": "WITH a AS (SELECT p_type, split_part(p_name, ' ', 1) AS alias FROM part UNION SELECT p_type, lower(p_brand) FROM part) SELECT p_type, count(DISTINCT alias) AS n, array_to_string(list_sort(list_distinct(list(alias))), ',') AS aliases FROM a WHERE lower(alias) <> lower(p_type) GROUP BY p_type",
-        "j26_missing_syntax": "WITH t AS (SELECT DISTINCT p_brand, p_type FROM part), s AS (SELECT DISTINCT p_brand, p_type, 1 AS x FROM part WHERE p_partkey < 60) SELECT p_brand, count(*) FILTER (x IS NULL) AS n_suggested, count(*) AS n FROM t LEFT JOIN s USING (p_brand, p_type) GROUP BY p_brand",
+        "j26_missing_syntax": "WITH t AS (SELECT DISTINCT p_brand, p_type FROM part), s AS (SELECT DISTINCT p_brand, CASE WHEN p_size <= 45 THEN lower(p_type) ELSE p_type END AS p_type, 1 AS x FROM part) SELECT p_brand, count(*) FILTER (x IS NULL) AS n_suggested, count(*) AS n FROM t LEFT JOIN s USING (p_brand, p_type) GROUP BY p_brand",
         "f16_tristate_split": "SELECT coalesce(quality = 1, false) AS kept, quality IS NULL AS unknown, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
         "f9_routing": "WITH d AS (SELECT text, doc_id % 10 = 0 OR length(text) > 5000 AS head FROM documents) SELECT head, count(*) AS n, CAST(sum(CASE WHEN head THEN least(length(text), 3000) ELSE length(text) END) AS BIGINT) AS chars FROM d GROUP BY head",
         "f20_frequency_gate": "WITH " + DOC_TOKENS + " SELECT count(*) AS n, CAST(sum(df) AS BIGINT) AS df FROM f WHERE df >= 30 AND token NOT IN (SELECT unnest(string_split(p_name, ' ')) FROM part)",
@@ -268,7 +268,7 @@ def _sql() -> dict[str, str]:
         "r7_slot_correction": "WITH a AS (SELECT CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'A' WHEN p_size > 25 THEN 'B' ELSE 'D_other' END AS family, CASE WHEN p_type IN ('SMALL', 'LARGE') THEN p_type ELSE 'other' END AS subtype, p_name FROM part) SELECT family, subtype, CASE WHEN family = 'A' THEN array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), '|') ELSE '' END AS bag, count(*) AS n FROM a GROUP BY ALL",
         "r11_nested_targets": "WITH " + EVENT_FACTS + ", f AS (SELECT env, key, count(DISTINCT paper) AS n FROM facts GROUP BY ALL) SELECT env, row_number() OVER (PARTITION BY env ORDER BY key) - 1 AS pos, key, n, round(100 * n / sum(n) OVER (PARTITION BY env), 2) AS pct FROM f",
         "g3_signature_merge": "WITH p AS (SELECT p_partkey % 300 AS c, p_partkey AS m, list_sort(list_filter(string_split(p_name, ' '), lambda t: t NOT IN ('small', 'red'))) AS core FROM part), b AS (SELECT c, min(m) AS b, first(array_to_string(core, ' ') ORDER BY len(core), array_to_string(core, ' ')) AS s FROM p WHERE len(core) > 0 GROUP BY c), a AS (SELECT s, min(b) AS a FROM b GROUP BY s) SELECT count(*) AS n, count(DISTINCT a) AS n_heads FROM b JOIN a USING (s) WHERE a <> b",
-        "g5_pair_proposals": "WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS k FROM customer WHERE c_acctbal > 9500 GROUP BY ALL) SELECT x.c_nationkey, x.k AS a, y.k AS b FROM c x JOIN c y ON x.c_nationkey = y.c_nationkey AND x.k < y.k WHERE x.n = 1 OR y.n = 1",
+        "g5_pair_proposals": "WITH c AS (SELECT c_nationkey, count(*) AS n, min(c_custkey) AS k FROM customer GROUP BY c_nationkey, CAST(floor(c_acctbal / 50) AS BIGINT)) SELECT x.c_nationkey, x.k AS a, y.k AS b FROM c x JOIN c y ON x.c_nationkey = y.c_nationkey AND x.k < y.k WHERE x.n = 1 OR y.n = 1",
         "g6_rule_layer": "WITH RECURSIVE k AS (SELECT DISTINCT name FROM (" + SCALARS["t13_variants"].split(", v AS")[0] + " SELECT name FROM names)), v AS (SELECT DISTINCT name AS a, variant AS b FROM (SELECT name, unnest([regexp_replace(name, '_(concentration|content|level|value|rate)$', ''), regexp_replace(name, '^(total|mean|average)_', ''), CASE WHEN regexp_matches(name, '[a-z]{3}s$') THEN left(name, length(name) - 1) ELSE name END, regexp_replace(name, '^(.+)_of_(.+)$', '\\2_\\1')]) AS variant FROM k) WHERE variant <> name AND variant IN (SELECT name FROM k)), bo AS (SELECT a, b FROM v UNION SELECT b, a FROM v), reach AS (SELECT DISTINCT a AS node, a AS r FROM bo UNION SELECT reach.node, bo.b FROM reach JOIN bo ON bo.a = reach.r), c AS (SELECT node, min(r) AS component FROM reach GROUP BY node) SELECT component, count(*) AS n FROM c GROUP BY component",
         "sm6_cells": "WITH " + EVENT_FACTS + " SELECT e.env, k.key, count(*) AS n FROM (SELECT DISTINCT paper, env FROM facts) e JOIN (SELECT DISTINCT paper, key FROM facts) k USING (paper) GROUP BY ALL",
         "c4_merge_targets": "WITH " + EVENT_FACTS + ", v AS (SELECT key, " + ", ".join(f"count(DISTINCT paper) FILTER (env = 'e{i}') AS env_e{i}" for i in range(4)) + " FROM facts GROUP BY key), m AS (SELECT CASE WHEN key IN ('click', 'view') THEN 'signup' ELSE key END AS key, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in envs) + " FROM v GROUP BY 1) SELECT *, round(" + h2(envs) + ", 6) AS h_norm FROM m",
