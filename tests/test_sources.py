@@ -109,3 +109,24 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
         for f in commits.iterdir():
             f.unlink()
         assert spark.read.parquet(out).count() == 5
+
+
+def test_clusters_of_similar_names(spark):
+    """Single-link clusters equal a union-find over all similar pairs of a bucket."""
+    from tidewrack.functions import text as T
+
+    names = ["depth", "depths", "water_depth", "depht", "salinity", "salinity_psu", "ph", "temp", "temperature", "temperatures", "total_nitrogen", "total_n", "nitrogen_total"]
+    rows = [(b, n) for b in ("a", "b") for n in names[: 13 if b == "a" else 6]]
+    df = spark.createDataFrame(rows, "b string, n string")
+    pairs = df.alias("x").join(df.alias("y"), F.expr("x.b = y.b and x.n < y.n")).filter(T.similar(F.col("x.n"), F.col("y.n"))).select("x.b", F.col("x.n").alias("p"), F.col("y.n").alias("q")).collect()
+    parent = {r: r for r in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in pairs:
+        p, q = sorted((find((r.b, r.p)), find((r.b, r.q))))
+        parent[q] = p
+    assert {(r.b, r.n): r.cluster for r in graph.clusters(df, "b", "n").collect()} == {r: find(r)[1] for r in rows}

@@ -145,3 +145,74 @@ def cleaned(text: Column) -> Column:
     """JS1: plain quotes and commas, and commas between adjacent objects and arrays."""
     plain = F.translate(text, "“”‘’，", "\"\"'',")
     return F.regexp_replace(F.regexp_replace(plain, r"\}\s*\{", "},{"), r"\]\s*\[", "],[")
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.startswith(F.schema_of_variant(value), F.lit(kind))
+
+
+def _unfenced(answer: Column, sentinel: str) -> Column:
+    """The text before the sentinel without a fence around it."""
+    text = F.trim(F.substring_index(F.coalesce(answer, F.lit("")), sentinel, 1))
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)^\s*```(?:json)?\s*", ""), r"\s*```\s*$", ""))
+
+
+def first_of(candidates: list[Column], kind: str) -> Column:
+    """The first candidate that parses to a value of the kind (ARRAY or OBJECT), as a variant."""
+    return F.coalesce(*[F.when(_is(F.try_parse_json(c), kind), F.try_parse_json(c)) for c in candidates])
+
+
+def balanced_list(text: Column) -> Column:
+    """JS4: the shortest text from the first opening bracket to a closing one that parses, which is the balanced one."""
+    rest = F.when(F.contains(text, F.lit("[")), F.substring(text, F.instr(text, "["), F.length(text)))
+    parts = F.split(rest, r"\]")
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "]"), F.lit("]")))
+    return F.get(F.filter(ends, lambda x: _is(F.try_parse_json(x), "ARRAY")), F.lit(0))
+
+
+def list_text(answer: Column, greedy: bool = True, sentinel: str = "</json>") -> Column:
+    """JS14, JS16 (not ``greedy``): text of a list in an answer, else the answer without fences."""
+    text = _unfenced(answer, sentinel)
+    whole = F.when(_is(F.try_parse_json(text), "ARRAY"), text)
+    outer = F.regexp_extract(text, r"\[[\s\S]*\]", 0)
+    widest = F.when(_is(F.try_parse_json(outer), "ARRAY"), outer) if greedy else F.lit(None)
+    return F.coalesce(whole, balanced_list(text), widest, text)
+
+
+def object_of(answer: Column) -> Column:
+    """JS15: the object of an answer: the text without its fence, else from the first brace to the last."""
+    text = F.trim(F.coalesce(answer, F.lit("")))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n", ""), r"```\s*$", ""))
+    return first_of([bare, F.regexp_extract(bare, r"\{[\s\S]*\}", 0)], "OBJECT")
+
+
+def simple_list(answer: Column, sentinel: str = "</json>") -> Column:
+    """JS12: a fenced value, else the widest list (once more without commas before its end), else the widest object, which
+    comes as a list of one; as a variant."""
+    text = cleaned(F.substring_index(F.coalesce(answer, F.lit("")), sentinel, 1))
+    fence = F.regexp_extract(text, r"```json\s*([\s\S]+?)\s*```", 1)
+    outer = F.regexp_extract(text, r"\[[\s\S]*\]", 0)
+    lists = [fence, outer, F.regexp_replace(outer, r",\s*\]", "]")]
+    one = F.regexp_extract(text, r"\{[\s\S]*\}", 0)
+    wrapped = F.when(_is(F.try_parse_json(one), "OBJECT"), F.try_parse_json(F.concat(F.lit("["), one, F.lit("]"))))
+    return F.coalesce(F.when(_is(F.try_parse_json(fence), "OBJECT"), F.try_parse_json(fence)), first_of(lists, "ARRAY"), wrapped)
+
+
+def groups_of(payload: Column) -> Column:
+    """JS17: member lists of a payload's groups (objects with members, or lists): texts and whole numbers, no empty ones."""
+    raw = F.try_variant_get(payload, "$.groups", "array<variant>")
+    members = F.transform(raw, lambda g: F.coalesce(F.try_variant_get(g, "$.members", "array<variant>"), F.try_variant_get(g, "$", "array<variant>")))
+    kept = F.transform(members, lambda m: F.transform(F.filter(m, lambda x: F.schema_of_variant(x).isin("STRING", "BIGINT")), lambda x: F.variant_get(x, "$", "string")))
+    full = F.filter(kept, lambda m: F.size(m) > 0)
+    return F.when(F.size(full) > 0, full)
+
+
+def keys_in(text: Column, keys: list[str]) -> Column:
+    """JS13b: how many of the keys a text names."""
+    hits = [F.contains(text, F.lit(f'"{k}"')).cast("int") for k in keys]
+    return F.coalesce(sum(hits[1:], hits[0]), F.lit(0))
+
+
+def without_explanation(text: Column) -> Column:
+    """JS5: the text up to the last closing brace or bracket."""
+    return F.regexp_replace(text, r"([\}\]])[^\}\]]*$", "$1")

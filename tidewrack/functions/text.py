@@ -219,3 +219,72 @@ def decompose(key: Column) -> Column:
 def root_tokens(root: Column) -> Column:
     """Parts of a root without stopwords."""
     return F.filter(F.split(root, "_"), lambda t: (t != "") & ~t.isin(*K.STOPWORDS))
+
+
+# Tokens of the sampling context; environments by their spellings; categories of reasons by their words.
+CONTEXT_TOKENS = (
+    "sampling sample sampled samp sampl collection collected collecting collect coll collector isolation isolated isolating "
+    "situ measured measurement measure measuring environmental environment study studied water waters"
+).split()
+ENVIRONMENT_KEYS = {"open_ocean": "Open_ocean", "coastal_waters": "Coastal_waters", "wetlands": "Wetlands", "lake": "Lake", "ocean": "Open_ocean", "coastal": "Coastal_waters", "wetland": "Wetlands"}
+REASON_WORDS = {
+    "analysis_result": ["丰度", "计数", "拷贝数", "生物量", "覆盖度", "reads", "qPCR", "菌落", "OTU", "ASV", "物种", "群落", "比值"],
+    "identifier": ["编号", "航次", "数据集", "站点编号", "站点名称", "site_id", "Cruise", "国家代码", "Project"],
+    "processing": ["过滤", "孔径", "试剂", "提取", "保存", "采样工具", "样品保存", "pore", "filter", "preservation", "库建", "测序", "reagent"],
+    "study_design": ["实验", "模拟", "处理参数", "treatment", "experimental", "施加", "添加", "研究设计", "培养"],
+    "bio_object": ["体长", "体重", "size", "生物个体", "年龄", "性别", "身长", "宿主", "prawn", "urchin", "stem", "植物", "生物属性", "龄"],
+    "descriptive": ["描述", "自由文本", "综合描述", "定性", "注释"],
+}
+
+
+def core_tokens(root: Column) -> Column:
+    """Root tokens without those of the sampling context, once each."""
+    return F.array_distinct(F.array_except(root_tokens(root), F.array(*[F.lit(t) for t in CONTEXT_TOKENS])))
+
+
+def reason_category(reason: Column) -> Column:
+    """The first category with a word that the reason holds."""
+    r = F.coalesce(reason, F.lit(""))
+    has = lambda words: F.coalesce(*[F.when(F.contains(r, F.lit(w)), F.lit(True)) for w in words], F.lit(False))
+    return F.coalesce(*[F.when(has(words), F.lit(c)) for c, words in REASON_WORDS.items()], F.lit("other"))
+
+
+def environment_key(env: Column) -> Column:
+    """A known spelling's environment, else the lower-cased text."""
+    low = F.lower(env)
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ENVIRONMENT_KEYS.items() for x in kv]), low), low)
+
+
+def environment_labels_of(text: Column) -> Column:
+    """Labels from a text of parts between commas."""
+    return environment_labels(F.split(text, ","))
+
+
+def prefixed_name(name: Column, version: Column) -> Column:
+    """A file name under the version of its prompt, once."""
+    prefix = F.concat(version, F.lit("_"))
+    return F.when(F.startswith(name, prefix), name).otherwise(F.concat(prefix, name))
+
+
+def description(key: Column, subtype: Column, kind: Column, modifiers: Column) -> Column:
+    """One line about a key: what it is a field of, what it measures if that says more, and with which modifiers."""
+    kind = F.coalesce(kind, F.lit(""))
+    parts = [
+        key, F.when(F.coalesce(subtype, F.lit("")) != "", F.concat(F.lit("a "), subtype, F.lit(" field"))),
+        F.when((kind != "") & (kind != key) & (kind != "other"), F.concat(F.lit("measuring "), kind)),
+        F.when(F.trim(F.coalesce(modifiers, F.lit(""))) != "", F.concat(F.lit("with modifiers "), F.replace(modifiers, F.lit("|"), F.lit(", ")))),
+    ]
+    return F.concat(F.concat_ws(". ", *parts), F.lit("."))
+
+
+def tier_text(papers: Column, pct: Column, least: int) -> Column:
+    """Why a field is in its tier."""
+    high = F.format_string("High literature frequency (%d PMIDs, %.1f%%) >= absolute threshold (%d PMIDs); no MIxS equivalent", papers, pct, F.lit(least))
+    low = F.format_string("Low literature frequency (%d PMIDs, %.1f%%), below Tier 2 threshold (%d PMIDs)", papers, pct, F.lit(least))
+    return F.when(papers >= least, high).otherwise(low)
+
+
+def metadata_words(names: Column, generic: list[str]) -> Column:
+    """Words of two characters or more in a list of names, without generic ones, sorted."""
+    words = F.flatten(F.transform(names, lambda n: F.regexp_extract_all(F.lower(n), F.lit(r"[a-z0-9]{2,}"), F.lit(0))))
+    return F.array_sort(F.array_except(F.array_distinct(words), F.array(*[F.lit(g) for g in generic]).cast("array<string>")))

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_FOLDERS: set[str] = set()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that executors share (``spark.checkpoint.dir``, else the warehouse); all of them go when the
+    driver's JVM ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+    folder = f"{root.rstrip('/')}/tidewrack-steps/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return f"{folder}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written once, in the folder that executors share."""
-    spark: SparkSession = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.startswith("local[")
-        root = tempfile.mkdtemp(prefix="tidewrack-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tidewrack/{spark.sparkContext.applicationId}/step-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def star_edges(groups: DataFrame, group: str, member: str, position: str) -> DataFrame:
@@ -81,3 +91,19 @@ def signature_edges(members: DataFrame, component: str, member: str, core: str)
     best = members.filter(F.size(core) > 0).groupBy(component).agg(F.min(F.struct(F.size(core).alias("n"), F.array_join(F.array_sort(core), " ").alias("s"))).alias("x"), F.min(member).alias("b"))
     first = best.groupBy("x.s").agg(F.min("b").alias("a"))
     return best.select(F.col("x.s").alias("s"), "b").join(first, "s").filter("a <> b").select("a", "b")
+
+
+def clusters(names: DataFrame, bucket: str, name: str) -> DataFrame:
+    """Single-link clusters inside buckets: (bucket, name, cluster), the cluster named by its least name."""
+    from tidewrack.operators.matching import similar_pairs
+
+    node = lambda c: F.struct(F.col(bucket).alias("bucket"), F.col(c).alias("name"))
+    pairs = similar_pairs(names.select(bucket, name).distinct(), bucket, name)
+    found = components(names.select(node(name).alias("node")).distinct(), pairs.select(node("a").alias("a"), node("b").alias("b")))
+    return found.select(F.col("node.bucket").alias(bucket), F.col("node.name").alias(name), F.col("component.name").alias("cluster"))
+
+
+def groups(labelled: DataFrame, component: str, member: str) -> DataFrame:
+    """Sorted members of every component. One row holds a component, as curated groups are small; ``component`` and
+    ``member`` themselves are the form for large ones."""
+    return labelled.groupBy(component).agg(F.array_sort(F.collect_set(member)).alias("members"))

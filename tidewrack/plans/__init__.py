@@ -10,11 +10,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
-    from tidewrack.plans import composites, graphs, joins, profiles, rankings, scalars, semistructured, stages
+    from tidewrack.plans import composites, graphs, joins, profiles, rankings, scalars, semistructured, stages, steps
 
     queries: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for module in (profiles, rankings, scalars, joins, graphs, semistructured, composites, stages):
+    for module in (profiles, rankings, scalars, joins, graphs, semistructured, composites, stages, steps):
         queries |= module.QUERIES
         sql |= module.SQL
     return queries, sql
