@@ -97,10 +97,11 @@ def clusters(names: DataFrame, bucket: str, name: str) -> DataFrame:
     """Single-link clusters inside buckets: (bucket, name, cluster), the cluster named by its least name."""
     from tidewrack.operators.matching import similar_pairs
 
-    node = lambda c: F.struct(F.col(bucket).alias("bucket"), F.col(c).alias("name"))
-    pairs = similar_pairs(names.select(bucket, name).distinct(), bucket, name)
-    found = components(names.select(node(name).alias("node")).distinct(), pairs.select(node("a").alias("a"), node("b").alias("b")))
-    return found.select(F.col("node.bucket").alias(bucket), F.col("node.name").alias(name), F.col("component.name").alias("cluster"))
+    own = names.select(F.col(bucket).alias("__bucket"), F.col(name).alias("__name")).distinct()
+    node = lambda c: F.struct("__bucket", F.col(c).alias("__name"))
+    pairs = similar_pairs(own, "__bucket", "__name")
+    found = components(own.select(node("__name").alias("node")), pairs.select(node("a").alias("a"), node("b").alias("b")))
+    return found.select(F.col("node.__bucket").alias(bucket), F.col("node.__name").alias(name), F.col("component.__name").alias("cluster"))
 
 
 def groups(labelled: DataFrame, component: str, member: str) -> DataFrame:
