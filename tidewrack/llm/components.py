@@ -25,20 +25,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most, and no node that has one is the end of another."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("n")).union(edges.select(F.col("b").alias("x"), F.lit(0).alias("n")).distinct())
+    return ends.groupBy("x").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter("n > 1 OR (n = 1 AND rows > 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node of the edges (a, b), the least ones included."""
-    spark = edges.sparkSession
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    state = None
-    while True:
+    while not _settled(now):
         wide = materialize(_star(now, large=True), "edges")
         new = materialize(_star(wide, large=False), "edges")
         forget(wide)
         forget(now)
         now = new
-        marks = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        release(spark)
-        if state == tuple(marks):
-            break
-        state = tuple(marks)
+    release(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())

@@ -277,7 +277,7 @@ def _linked(nodes: DataFrame) -> DataFrame:
     dealt = live.withColumn("block", F.explode(where)).join(nodes.select("v", "sk"), "v").select("path", "block", "v", "l", "sk")
     edges = _step(_sorted(dealt, "path", "block").mapInArrow(_met(2), EDGES).distinct(), "links")
     forget(live)
-    labels = _step(components(edges).select(F.col("node").alias("v"), F.col("label").alias("l")), "labels")
+    labels = materialize(components(edges).select(F.col("node").alias("v"), F.col("label").alias("l")), "labels")
     forget(edges)
     return labels
 
@@ -286,7 +286,7 @@ def _with_main(large: DataFrame) -> DataFrame:
     """Adds main (the most frequent label of the bucket) and rest (members of other labels)."""
     counts = large.groupBy("path", "l").agg(F.count("*").alias("c"))
     tops = materialize(counts.groupBy("path").agg(F.max(F.struct("c", "l")).alias("top"), F.sum("c").alias("m")), "tops")
-    return _step(large.join(tops, "path").select("path", "v", "l", F.col("top.l").alias("main"), (F.col("m") - F.col("top.c")).alias("rest"), F.col("top.c").alias("most")), "main")
+    return materialize(large.join(tops, "path").select("path", "v", "l", F.col("top.l").alias("main"), (F.col("m") - F.col("top.c")).alias("rest"), F.col("top.c").alias("most")), "main")
 
 
 def _across(large: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -439,7 +439,7 @@ def _central(whole: DataFrame, nodes: DataFrame) -> DataFrame:
     sample = members.filter(F.pmod(F.xxhash64("v"), F.col("size")) < SAMPLE).select("comp", "sk")
     modes = materialize(_sorted(sample, "comp").mapInArrow(_modes, "comp bigint, mode binary"), "modes")
     away = members.join(modes, "comp").select("comp", "v", "sk", "mode").mapInArrow(_from_mode, "comp bigint, v bigint, away bigint")
-    centres = _step(away.groupBy("comp").agg(F.min(F.struct("away", "v")).alias("c")).select("comp", F.col("c.v").alias("v")), "centres")
+    centres = materialize(away.groupBy("comp").agg(F.min(F.struct("away", "v")).alias("c")).select("comp", F.col("c.v").alias("v")), "centres")
     parts = F.ceil(F.col("size") / F.col("per")).cast("int")
     dealt = whole.withColumn("block", F.pmod(F.xxhash64("v"), parts.cast("bigint")).cast("int")).select("comp", "block", "v", "m", "s", F.lit(False).alias("centre"))
     copies = whole.join(centres, ["comp", "v"]).withColumn("block", F.explode(F.sequence(F.lit(0), parts - 1))).select("comp", "block", "v", "m", "s", F.lit(True).alias("centre"))
@@ -475,7 +475,7 @@ def exact_links(wanted: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFr
     spark = texts.sparkSession
     per = F.greatest(F.lit(2).cast("bigint"), F.least(F.lit(MEMBERS).cast("bigint"), F.floor(MEMBER_BYTES * F.col("size") / (8 * F.col("held")))))
     sizes = materialize(wanted.groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("held")).select("comp", "size", per.alias("per")), "sizes")
-    asked = _step(wanted.join(sizes, "comp").select("comp", "v", "m", "size", "per", "k", "th"), "asked")
+    asked = materialize(wanted.join(sizes, "comp").select("comp", "v", "m", "size", "per", "k", "th"), "asked")
     least = F.lit(-(2**63)).cast("bigint")
     near = texts.filter(may_hold(asked, "k", "th")(F.col("k"), F.col("th"))).withColumn("k", F.coalesce("k", least))
     with_text = near.join(asked.withColumn("k", F.coalesce("k", least)), ["k", "th"]).select("comp", "v", "m", "size", "per", "t")
@@ -519,14 +519,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     nodes = _step(own.select(F.col("u").alias("v"), "mh", "sk").dropDuplicates(["v"]), "nodes")
 
     comp = components(meetings(nodes)).select(F.col("node").alias("u"), F.col("label").alias("comp"))
-    wanted = _step(comp.join(classes, "u").select("comp", F.col("u").alias("v"), "f.k", "f.th", "n", "m"), "candidates")
+    wanted = materialize(comp.join(classes, "u").select("comp", F.col("u").alias("v"), "f.k", "f.th", "n", "m"), "candidates")
     exact = exact_links(wanted, texts, nodes)
     label = components(exact.select(F.col("v").alias("a"), F.col("root").alias("b")).filter("a <> b")).select(F.col("node").alias("u"), "label")
     links = exact.groupBy(F.col("v").alias("u")).agg(F.sum("links").alias("links"))
     joined = classes.select("u", "v", "w", "least", "m").join(label, "u", "left").join(links, "u", "left")
-    joined = _step(joined.select("v", "w", "least", F.coalesce("label", "u").alias("node"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    joined = materialize(joined.select("v", "w", "least", F.coalesce("label", "u").alias("node"), (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
     ids = materialize(joined.groupBy("node").agg(F.min("least").alias("class_id")), "ids")
-    final = _step(joined.join(ids, "node").select("v", "w", "node", "class_id", "n_links"), "classes")
+    final = materialize(joined.join(ids, "node").select("v", "w", "node", "class_id", "n_links"), "classes")
     for x in (nodes, classes, wanted, joined, ids):
         forget(x)
     with_class = known.select("k", "th", "v", "w").join(final, ["v", "w"]).select("k", "th", "class_id", "node", "n_links")
