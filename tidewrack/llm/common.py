@@ -85,10 +85,29 @@ def release(spark: SparkSession) -> None:
 def forget(df: DataFrame) -> None:
     """Delete a table written by ``materialize`` that nothing reads any more."""
     jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidewrack/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in _folders(df):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(df: DataFrame) -> set[str]:
+    return {folder for f in df.inputFiles() if "/tidewrack/" in (folder := f.rsplit("/", 1)[0])}
+
+
+#: Bytes that a task may hold in a hash table, and how much larger rows are there than in a written table.
+HASH_BYTES, SWELL = 64 << 20, 8
+
+
+def hashed(side: DataFrame, *written: DataFrame) -> DataFrame:
+    """``side`` of a join with a hint to hash it, if the written tables that it is made of (itself, if none are given) are
+    small enough for that in every partition. A hash table can't spill; beyond this size joins sort."""
+    spark = side.sparkSession
+    size = 0
+    for folder in set().union(*(_folders(w) for w in written or (side,))):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        size += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    fits = SWELL * size <= HASH_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return side.hint("shuffle_hash") if fits else side
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

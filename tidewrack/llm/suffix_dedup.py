@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import blocks, forget, materialize, release, small_batches, string_buffers
+from tidewrack.llm.common import blocks, forget, hashed, materialize, release, small_batches, string_buffers
 
 LENGTH, GRAM, BLOCK = 100, 32, 8
 #: Rows of one range when ranks are sorted.
@@ -253,7 +253,7 @@ def ranked(pairs: DataFrame) -> DataFrame:
     whose pair is unique are dropped."""
     shared = materialize(pairs.groupBy("r", "next").agg(F.count("*").alias("n")).filter("n > 1").select("r", "next"), "shared")
     order = materialize(dense_ranks(shared, "r", "next"), "order")
-    found = materialize(pairs.join(order, ["r", "next"]).select(F.col("rank").alias("r"), "own", "k", "th", "p"), "positions")
+    found = materialize(pairs.join(hashed(order), ["r", "next"]).select(F.col("rank").alias("r"), "own", "k", "th", "p"), "positions")
     forget(shared)
     forget(order)
     release(pairs.sparkSession)
@@ -279,7 +279,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     grams = docs.select("t").mapInArrow(_anchors_of, _ddl(_longs("h")))
     shared = step(grams.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "ranks")
-    segments = step(docs.select("k", "th", "t").mapInArrow(_segments_of, _ddl(_SEGMENT)).join(shared, "h"), "segments")
+    segments = step(docs.select("k", "th", "t").mapInArrow(_segments_of, _ddl(_SEGMENT)).join(hashed(shared), "h"), "segments")
     forget(shared)
     whole = step(_first(segments, "h", "s"), "wholes")
     start, count = F.shiftright("p", 14), F.shiftright("p", 7).bitwiseAND(127)
@@ -287,7 +287,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     forget(segments)
 
     listed = lambda places: places.groupBy("k", "th").agg(F.collect_list("p").alias("x"))
-    within = lambda places: docs.join(listed(places), ["k", "th"]).select("k", "th", "t", "x")
+    within = lambda places: docs.join(hashed(listed(places), places), ["k", "th"]).select("k", "th", "t", "x")
     todo = step(_open(whole, ["h"]), "open")
     forget(whole)
     cut = step(within(todo).mapInArrow(_within(_BLOCK, block_rows), _ddl(_BLOCK)), "blocks")
@@ -352,5 +352,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = base.select("id", F.coalesce(F.col("id").cast("bigint"), F.lit(-(2**63)).cast("bigint")).alias("k"), F.xxhash64("t").alias("th"), "t")
     spans = repeated_spans(rows.select("k", "th", "t"))
     found = spans.groupBy("k", "th").agg(F.collect_list(F.struct("s", "e")).alias("x"))
-    done = rows.join(found, ["k", "th"], "left").select("id", F.arrow_udf(_kept, RESULT)("t", "x").alias("r"))
+    done = rows.join(hashed(found, spans), ["k", "th"], "left").select("id", F.arrow_udf(_kept, RESULT)("t", "x").alias("r"))
     return done.select(F.col("id").alias(doc_id), "r.n_bytes", "r.n_removed", "r.n_spans", "r.kept")
