@@ -98,8 +98,26 @@ def test_one_of_each_class_stays(spark):
     assert jaccard_join.drop_similar(cases.empty(spark)).count() == 0
 
 
-def test_runs_reach_the_recall():
+def test_runs_reach_the_recall(spark, capsys):
+    """Planted pairs of known similarity among rows of common passages: nearly all at 0.8 and above are found."""
     assert jaccard_join.runs_needed() >= 10
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(40_000)}"
+    passages = [[word() for _ in range(60)] for _ in range(12)]
+    rows, pairs = [], []
+    for changed in (10, 7, 5):  # of 90 shingles: similarities of 80/100, 83/97, 85/95
+        for _ in range(150):
+            base = [word() for _ in range(94)]
+            pairs.append(((90 - changed) / (90 + changed), len(rows)))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(base[: 94 - changed] + [word() for _ in range(changed)]))]
+    rows += [(10_000 + i, " ".join([w for p in rng.sample(passages, 3) for w in p] + [word() for _ in range(80)])) for i in range(300)]
+    got = {r.doc_id: r.class_id for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = collections.defaultdict(list)
+    for similarity, k in pairs:
+        found[round(similarity, 2)].append(got[k] == got[k + 1])
+    with capsys.disabled():
+        print({s: sum(x) / len(x) for s, x in found.items()})
+    assert all(sum(x) >= 0.99 * len(x) for x in found.values())
 
 
 def removed(rows):
