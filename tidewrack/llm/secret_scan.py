@@ -30,6 +30,8 @@ KINDS = ["assign", "access", "hex", "random"]
 TOKEN_CHARS = 20
 TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{TOKEN_CHARS},}}={{0,2}}"
 RULES = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": TOKEN}
+#: Every match of a rule holds one of these in lower case: texts without any are not matched.
+NEEDED = {"assign": ["passw", "secret", "token", "api"], "access": ["akia"]}
 #: Alphabets of the encodings, tried in this order; a token's own is the first that holds all its symbols.
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = [
@@ -78,8 +80,12 @@ def placed(text: Column, kind: str) -> Column:
         before = running(F.transform(xs, lambda x: x["b"] + x["n"]), F.lit(0), lambda a, b: a + b)
         return F.zip_with(xs, before, lambda x, at: F.struct((at + x["b"]).alias("s"), F.lit(rank).alias("r"), (at + x["b"] + x["n"]).alias("e"), x["m"].alias("m")))
 
-    found = F.regexp_extract_all(text, F.lit(rule), F.lit(0))
-    return let(found, lambda f: F.when(F.size(f) > 0, let(sized(f), starts)).otherwise(F.array().cast(MATCHES)))
+    none = F.array().cast(MATCHES)
+    found = let(F.regexp_extract_all(text, F.lit(rule), F.lit(0)), lambda f: F.when(F.size(f) > 0, let(sized(f), starts)).otherwise(none))
+    if kind not in NEEDED:
+        return found
+    maybe = let(F.lower(text), lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(True)) for w in NEEDED[kind]], F.lit(False)))
+    return F.when(maybe, found).otherwise(none)
 
 
 def _let(name: str, value: str, body: str) -> str:
