@@ -105,13 +105,19 @@ def a30_success_table(spark, sf_dir):
 
 
 def j5_alias_members(spark, sf_dir):
-    """Fields expanded by the first group that holds them: papers of all members."""
+    """Fields expanded by the first group that holds them: papers of all members.
+
+    Fields of one first group have the same papers, which are counted once for the group. Lines of names that the same
+    first groups hold count as one name's before they are spread over these groups.
+    """
     p = load(spark, sf_dir, "part")
     groups = p.select(F.col("p_brand").alias("grp"), F.lower("p_name").alias("member")).distinct()
     first = groups.groupBy("member").agg(F.min("grp").alias("grp"))
-    papers = p.join(load(spark, sf_dir, "lineitem"), F.col("p_partkey") == F.col("l_partkey")).select(F.lower("p_name").alias("alias"), F.col("l_orderkey").alias("pmid")).distinct()
-    expanded = first.join(groups.withColumnRenamed("member", "alias"), "grp").select("member", "alias")
-    return expanded.join(papers, "alias").groupBy("member").agg(F.countDistinct("pmid").alias("n_papers"))
+    held = groups.join(first.select("grp").distinct(), "grp", "left_semi").groupBy(F.col("member").alias("alias")).agg(F.array_sort(F.collect_set("grp")).alias("grps"))
+    parts = p.select("p_partkey", F.lower("p_name").alias("alias")).join(held, "alias").select("p_partkey", "grps").distinct()
+    papers = parts.join(load(spark, sf_dir, "lineitem"), F.col("p_partkey") == F.col("l_partkey")).select("grps", F.col("l_orderkey").alias("pmid")).distinct()
+    counts = papers.select(F.explode("grps").alias("grp"), "pmid").groupBy("grp").agg(F.countDistinct("pmid").alias("n_papers"))
+    return first.join(counts, "grp").select("member", "n_papers")
 
 
 def j8_compress_runs(spark, sf_dir):
