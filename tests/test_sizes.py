@@ -44,3 +44,10 @@ def test_alias_members_are_counted_once_for_a_group(spark, crowded):
     folder, con = crowded
     same(QUERIES["j5_alias_members"](spark, folder), con, SQL["j5_alias_members"])
     assert most_rows(spark, QUERIES["j5_alias_members"](spark, folder)) <= 3 * 8000
+
+
+def test_groups_meet_by_distinct_members(spark, crowded):
+    folder, con = crowded
+    for name in ("j13_set_overlap", "j13b_inherited"):
+        same(QUERIES[name](spark, folder), con, SQL[name])
+    assert most_rows(spark, QUERIES["j13b_inherited"](spark, folder)) <= 3 * 4000

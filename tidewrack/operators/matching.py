@@ -63,17 +63,23 @@ def similar_pairs(names: DataFrame, bucket: str, name: str) -> DataFrame:
     return pairs.select(bucket, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
-def set_overlap(old: DataFrame, new: DataFrame, group: str, member: str) -> DataFrame:
-    """Each new group's relation to the old ones by their members: exact, partial or new.
+def overlaps(old: DataFrame, new: DataFrame, group: str, member: str) -> DataFrame:
+    """New, old, exact: groups that share a member, and whether their members are equal. Null is no member.
 
-    Groups meet by shared members, with sizes beside them: equal sets share all members of both.
+    Groups meet by distinct members, with sizes beside them: equal sets share all members of both.
     """
-    sized = lambda x, g: x.select(F.col(group).alias(g), member).distinct()
+    sized = lambda x, g: x.filter(F.col(member).isNotNull()).select(F.col(group).alias(g), member).distinct()
     o, n = sized(old, "old"), sized(new, "new")
     so, sn = o.groupBy("old").agg(F.count("*").alias("so")), n.groupBy("new").agg(F.count("*").alias("sn"))
     met = n.join(o, member).groupBy("new", "old").agg(F.count("*").alias("shared")).join(so, "old").join(sn, "new")
-    kind = F.when(F.max((F.col("shared") == F.col("so")) & (F.col("shared") == F.col("sn"))), "exact").otherwise("partial")
-    return sn.select("new").join(met.groupBy("new").agg(kind.alias("kind"), F.count("*").alias("n_old")), "new", "left").select("new", F.coalesce("kind", F.lit("new")).alias("kind"), F.coalesce("n_old", F.lit(0)).alias("n_old"))
+    return met.select("new", "old", ((F.col("shared") == F.col("so")) & (F.col("shared") == F.col("sn"))).alias("exact"))
+
+
+def set_overlap(old: DataFrame, new: DataFrame, group: str, member: str) -> DataFrame:
+    """Each new group's relation to the old ones by their members: exact, partial or new."""
+    kind = F.when(F.max("exact"), "exact").otherwise("partial")
+    met = overlaps(old, new, group, member).groupBy("new").agg(kind.alias("kind"), F.count("*").alias("n_old"))
+    return new.select(F.col(group).alias("new")).distinct().join(met, "new", "left").select("new", F.coalesce("kind", F.lit("new")).alias("kind"), F.coalesce("n_old", F.lit(0)).alias("n_old"))
 
 
 def cde_lookup(rows: DataFrame, cde: DataFrame, env: str, key: str) -> DataFrame:

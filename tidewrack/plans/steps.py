@@ -67,17 +67,14 @@ def j3_j4_joined_last(spark, sf_dir):
 
 def j13b_inherited(spark, sf_dir):
     """Groups of names by brand and size, of even keys (old, approved where the size is even) and odd ones (new)."""
-    from tidewrack.operators.matching import set_overlap
+    from tidewrack.operators.matching import overlaps, set_overlap
 
     p = load(spark, sf_dir, "part").withColumn("g", F.concat_ws("/", "p_brand", "p_size"))
     old, new = p.filter("p_partkey % 2 = 0").select("g", "p_name"), p.filter("p_partkey % 2 = 1").select(F.concat(F.lit("new "), "g").alias("g"), "p_name")
     kinds = set_overlap(old, new, "g", "p_name").select("new", "kind")
-    sets = lambda x, n: x.groupBy(F.col("g").alias(n)).agg(F.array_sort(F.collect_set("p_name")).alias(f"{n}_set"))
-    met = new.join(old.select(F.col("g").alias("old"), "p_name"), "p_name").select(F.col("g").alias("new"), "old").distinct()
-    overlaps = met.join(sets(new, "new"), "new").join(sets(old, "old"), "old").select("new", "old", (F.col("new_set") == F.col("old_set")).alias("exact"))
     decisions = old.select(F.col("g").alias("old")).distinct().withColumn("approved", F.substring_index("old", "/", -1).cast("int") % 2 == 0)
     rejected = new.filter(F.endswith("g", F.lit("/7"))).select(F.col("g").alias("new")).distinct()
-    return S.inherited(kinds, overlaps, decisions, rejected).groupBy("kind", "approved").agg(F.count("*").alias("n"))
+    return S.inherited(kinds, overlaps(old, new, "g", "p_name"), decisions, rejected).groupBy("kind", "approved").agg(F.count("*").alias("n"))
 
 
 def j14b_target_sets(spark, sf_dir):
