@@ -32,8 +32,8 @@ def crowded(tmp_path_factory):
     """Many parts and lines of few names, with nulls and names in both cases; names of one brand, of several and of all."""
     folder = tmp_path_factory.mktemp("crowded")
     con = duckdb.connect()
-    con.execute("""CREATE TABLE part AS SELECT i AS p_partkey, CASE WHEN i % 97 = 0 THEN NULL WHEN i % 5 = 0 THEN 'NAME ' || i % 40 ELSE 'name ' || i % 40 END AS p_name,
-        'Brand#' || CASE WHEN i % 40 < 30 THEN i // 40 % 3 ELSE i % 40 END AS p_brand, CAST(1 + i // 40 % 8 AS INT) AS p_size FROM range(4000) r(i)""")
+    con.execute("""CREATE TABLE part AS SELECT i AS p_partkey, CASE WHEN i % 97 = 0 THEN NULL WHEN i % 5 = 0 THEN 'NAME ' || i // 2 % 40 ELSE 'name ' || i // 2 % 40 END AS p_name,
+        'Brand#' || CASE WHEN i // 2 % 40 < 30 THEN i // 80 % 3 ELSE i // 2 % 40 END AS p_brand, CAST(1 + i // 80 % 2 AS INT) AS p_size FROM range(4000) r(i)""")
     con.execute("CREATE TABLE lineitem AS SELECT CASE WHEN i % 89 <> 0 THEN i // 3 END AS l_orderkey, CASE WHEN i % 83 <> 0 THEN i * 7919 % 4100 END AS l_partkey FROM range(8000) r(i)")
     for name in ("part", "lineitem"):
         con.execute(f"COPY {name} TO '{folder}/{name}.parquet' (FORMAT parquet)")
