@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import forget, materialize
+from tidewrack.llm.common import forget, materialize, release
 
 #: Ids in one range of the ordering, and ranges at most (this bounds what is broadcast).
 RANGE_ROWS, MOST_RANGES = 50_000, 20_000
@@ -72,7 +72,8 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     ignored; an empty table gives no rows.
 
     Canonical forms of all texts are made once, for a narrow table of digests, and once more of edited texts and of texts
-    that share a digest. Texts are shuffled once by id, beside the prefixes that the rows before them ask for.
+    that share a digest. Texts are shuffled by id twice: to compare those that share a digest, and, when that shuffle has gone,
+    beside the prefixes that the rows before them ask for.
     """
     base = docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
     prints = materialize(base.select("k", "th", digest(canonical(F.col("t"))).alias("fp"), F.length("t").alias("n")), "prints")
@@ -87,6 +88,7 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     clashing = not clashes.isEmpty()
     forget(shared)
     forget(repeated)
+    release(docs.sparkSession)  # the texts shuffled for this, before the rows' own shuffle
     extended = lambda rows, fp, of: _extended(rows, fp, of, clashes) if clashing else rows
 
     own = extended(by_id.join(known.select("k", "th", "fp").distinct(), ["k", "th"]), "fp", "t")
