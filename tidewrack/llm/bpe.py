@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import list_array, per_worker, small_batches
+from tidewrack.llm.common import list_array, per_worker, small_batches, trim
 
 #: Pieces of more bytes are merged with a heap, and of more than LONG rank by rank.
 SHORT, LONG = 64, 1 << 14
@@ -330,7 +330,10 @@ class Tokenizer:
         shared, key = self.shared, self.key
 
         def run(texts: pa.Array) -> pa.Array:
-            return encode_array(per_worker(key, lambda: Encoder(shared.value)), texts)
+            try:
+                return encode_array(per_worker(key, lambda: Encoder(shared.value)), texts)
+            finally:
+                trim()
 
         return F.arrow_udf(run, "array<int>")(text)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -82,6 +83,30 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: The C library's way to return free memory, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give what a Python worker has freed back to the system, as idle workers stay beside those of later steps."""
+    gc.collect(0)
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def lean(run):
+    """``run`` (over the batches of a task), after which the worker keeps no memory that it has freed."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table written by ``materialize`` that nothing reads any more."""
     jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession

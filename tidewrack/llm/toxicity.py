@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import bounded_keys, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts
+from tidewrack.llm.common import bounded_keys, codes, id_bucket, ngram_hashes, per_worker, small_batches, training_texts, trim
 
 TRAIN_ROWS, TRAIN_CHARS = 10_000, 30_000_000
 SIZES, BITS = (3, 4, 5, 6), 20
@@ -157,6 +157,7 @@ def score(spark, model: Model, text: Column) -> Column:
     def run(texts: pa.Array) -> pa.Array:
         model = per_worker(key, lambda: shared.value)
         found = [model.score(b) for b in chunks([t or "" for t in texts.to_pylist()])]
+        trim()
         return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
     return F.arrow_udf(run, "double")(text)
