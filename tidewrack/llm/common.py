@@ -95,18 +95,6 @@ def trim() -> None:
         _TRIM(0)
 
 
-def lean(run):
-    """``run`` (over the batches of a task), after which the worker keeps no memory that it has freed."""
-
-    def trimmed(batches):
-        try:
-            yield from run(batches)
-        finally:
-            trim()
-
-    return trimmed
-
-
 def forget(df: DataFrame) -> None:
     """Delete a table written by ``materialize`` that nothing reads any more."""
     jvm, spark = df.sparkSession.sparkContext._jvm, df.sparkSession
