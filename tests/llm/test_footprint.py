@@ -1,10 +1,11 @@
-"""What operators leave on disk while they go on."""
+"""What operators leave on disk and in memory while they go on."""
 
 import time
 
 import numpy as np
+import pyarrow as pa
 
-from tidewrack.llm import common
+from tidewrack.llm import common, toxicity
 from tidewrack.llm.fingerprints import fingerprint_documents
 
 
@@ -27,3 +28,14 @@ def test_fingerprints_let_go_of_the_compared_texts(spark):
         time.sleep(0.25)
     assert shuffled(spark) - before < 1_000_000  # the texts have 8 MB
     assert made.count() == 400
+
+
+def test_training_gives_memory_back_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, rng.bytes(10_000).hex()) for i in range(200)], "doc_id long, text string").localCheckpoint()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    held = []
+    monkeypatch.setattr(toxicity, "trim", lambda: held.append(pa.total_allocated_bytes()))
+    before = pa.total_allocated_bytes()
+    toxicity.train(docs, labels)
+    assert held and held[-1] - before < 1_000_000  # the sample has 3 MB

@@ -323,6 +323,7 @@ class Tokenizer:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.shared = spark.sparkContext.broadcast(Vocabulary.load(path))
+        trim()  # what parsing has freed on the driver
         self.key = f"bpe-{uuid.uuid4().hex}"
 
     def encode(self, text: Column) -> Column:

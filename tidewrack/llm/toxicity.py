@@ -146,7 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     texts = docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     got = training_texts(texts.join(F.broadcast(chosen), "k").select("k", "text", "y"), rows, most_chars)
     got = got.sort_by([("k", "ascending"), ("text", "ascending")])
-    return fit(got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.float64) > 0)
+    texts, toxic_ = got["text"].to_pylist(), np.array(got["y"].to_pylist(), np.float64) > 0
+    del got
+    model = fit(texts, toxic_)
+    del texts
+    trim()  # the driver goes on to other work
+    return model
 
 
 def score(spark, model: Model, text: Column) -> Column:
