@@ -39,3 +39,21 @@ def test_training_gives_memory_back_on_the_driver(spark, monkeypatch):
     before = pa.total_allocated_bytes()
     toxicity.train(docs, labels)
     assert held and held[-1] - before < 1_000_000  # the sample has 3 MB
+
+
+def test_fingerprints_shuffle_texts_by_id_once(spark):
+    rng = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, rng.bytes(10_000).hex()) for i in range(400)], "doc_id long, text string").localCheckpoint()
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        made = fingerprint_documents(docs)
+        time.sleep(1)
+        common.release(spark)
+        before = shuffled(spark)
+        out = made.collect()
+    finally:
+        spark.conf.set(key, usual)
+    assert len(out) == 400
+    assert shuffled(spark) - before < 13_000_000  # the texts have 8 MB, the prefixes a third of that

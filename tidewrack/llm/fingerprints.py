@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewrack.llm.common import forget, materialize, release
+from tidewrack.llm.common import forget, materialize, narrowed, release
 
 #: Ids in one range of the ordering, and ranges at most (this bounds what is broadcast).
 RANGE_ROWS, MOST_RANGES = 50_000, 20_000
@@ -71,19 +71,21 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     (needed prefix, fingerprint) is taken; rows with a null id have themselves as the next document; other columns are
     ignored; an empty table gives no rows.
 
-    Canonical forms of all texts are made once, for a narrow table of digests, and once more of edited texts and of texts
-    that share a digest. Texts are shuffled by id twice: to compare those that share a digest, and, when that shuffle has gone,
-    beside the prefixes that the rows before them ask for.
+    Canonical forms of all texts are made twice, for a narrow table of digests and on the way to the shuffle of the rows, and
+    once more of edited texts and of texts that share a digest. Texts that may share a digest are shuffled to be compared;
+    when that shuffle has gone, all are shuffled once by id, beside the prefixes that the rows before them ask for. Digests
+    travel with that shuffle, as a join that brings them would shuffle the texts once more.
     """
     base = docs.select(F.col(doc_id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
-    prints = materialize(base.select("k", "th", digest(canonical(F.col("t"))).alias("fp"), F.length("t").alias("n")), "prints")
+    fresh = digest(canonical(F.col("t")))
+    prints = materialize(base.select("k", "th", fresh.alias("fp"), F.length("t").alias("n")), "prints")
     known = prints.filter("k IS NOT NULL")
     links = materialize(next_ids(known.groupBy("k").agg(F.max(F.floor(F.col("n") / 3)).cast("int").alias("need"))), "next")
 
-    by_id = base.filter("k IS NOT NULL").repartition("k")
+    with_id = base.filter("k IS NOT NULL")
     shared = materialize(prints.groupBy("fp").count().filter("count > 1").select("fp"), "shared")
     repeated = materialize(known.join(shared, "fp", "left_semi").select("k", "th", "fp").distinct(), "repeated")
-    texts = by_id.join(repeated, ["k", "th"]).select("fp", canonical(F.col("t")).alias("c"))
+    texts = narrowed(with_id, repeated, "k", "th").join(repeated, ["k", "th"]).select("fp", canonical(F.col("t")).alias("c"))
     clashes = materialize(colliding(texts), "colliding")
     clashing = not clashes.isEmpty()
     forget(shared)
@@ -91,11 +93,11 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     release(docs.sparkSession)  # the texts shuffled for this, before the rows' own shuffle
     extended = lambda rows, fp, of: _extended(rows, fp, of, clashes) if clashing else rows
 
-    own = extended(by_id.join(known.select("k", "th", "fp").distinct(), ["k", "th"]), "fp", "t")
+    own = extended(with_id.select("k", "t", fresh.alias("fp")), "fp", "t")
     asked = links.select(F.col("nxt").alias("k"), F.col("k").alias("asker"), "need")
     nexts = own.join(asked, "k").select("asker", F.struct(F.expr("substring(t, 1, need)").alias("p"), F.col("fp").alias("fp")).alias("n")).groupBy("asker").agg(F.min("n").alias("n"))
     joined = own.join(nexts.select(F.col("asker").alias("k"), F.col("n.p").alias("p"), F.col("n.fp").alias("next_fp")), "k", "left")
-    alone = extended(base.filter("k IS NULL").withColumn("fp", digest(canonical(F.col("t")))), "fp", "t")
+    alone = extended(base.filter("k IS NULL").withColumn("fp", fresh), "fp", "t")
     alone = alone.select("k", "t", "fp", F.expr("substring(t, 1, int(floor(length(t) / 3)))").alias("p"), F.col("fp").alias("next_fp"))
     rows = joined.select("k", "t", "fp", "p", "next_fp").unionByName(alone).withColumn("n", F.length("t"))
     edited = rows.select("k", "t", "n", "fp", "next_fp", F.expr("concat(substring(t, 1, n - int(floor(n / 3))), substring(p, 1, int(floor(n / 3))))").alias("e"))
