@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pyarrow as pa
 
-from tidewrack.llm import common, toxicity
+from tidewrack.llm import common, jaccard_join, toxicity
 from tidewrack.llm.fingerprints import fingerprint_documents
 
 
@@ -57,3 +57,30 @@ def test_fingerprints_shuffle_texts_by_id_once(spark):
         spark.conf.set(key, usual)
     assert len(out) == 400
     assert shuffled(spark) - before < 13_000_000  # the texts have 8 MB, the prefixes a third of that
+
+
+def test_meetings_shuffle_sketches_of_linked_sets_only(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    mh = rng.integers(0, 2**32, (8000, jaccard_join.SIZE), np.uint64).astype(np.uint32)
+    mh[1:20] = mh[0]
+    rows = [(i, m.tobytes(), (m & 255).astype(np.uint8).tobytes()) for i, m in enumerate(mh)]
+    nodes = common.materialize(spark.createDataFrame(rows, "v long, mh binary, sk binary"), "nodes")
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", {}
+
+    def written(df, label):
+        common.release(spark)
+        time.sleep(1)
+        before = shuffled(spark)
+        done = common.materialize(df, label)
+        seen[label] = max(seen.get(label, 0), shuffled(spark) - before)
+        return done
+
+    monkeypatch.setattr(jaccard_join, "materialize", written)
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        found = jaccard_join.meetings(nodes).collect()
+    finally:
+        spark.conf.set(key, usual)
+    assert {x for r in found for x in (r.a, r.b)} == set(range(20))
+    assert seen["sizes"] < 4_500_000 and seen["live"] < 2_000_000, seen  # the minhashes have 4 MB, counts of buckets 3

@@ -264,12 +264,18 @@ def _step(df: DataFrame, label: str) -> DataFrame:
     return done
 
 
+def _live(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The rows of the buckets in ``sizes``, with the size. Most rows are in none, so a filter goes before the shuffle."""
+    live = _step(rows.filter(may_hold(sizes, "path")(F.col("path"))).join(sizes, "path"), "live")
+    forget(sizes)
+    return live
+
+
 def _linked(nodes: DataFrame) -> DataFrame:
     """v, l: label of the nodes that the linking pass connects with others."""
     rows = nodes.select("v", F.col("v").alias("l"), "mh").mapInArrow(_roots(runs_needed() + 1, LINKS), PATHS)
     sizes = materialize(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-    live = _step(rows.join(sizes, "path"), "live")
-    forget(sizes)
+    live = _live(rows, sizes)
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     deal = F.pmod(F.xxhash64("path", "v"), n.cast("bigint")).cast("int")
     everywhere = F.pmod(F.xxhash64("v", "path", F.lit(1)), F.col("size").cast("bigint")) < SHARED
@@ -308,13 +314,14 @@ def meetings(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) of nodes (v, mh, sk) that connect all that met in a bucket and may reach the threshold. Buckets compare
     the last bytes of the minhashes (sk), a quarter of their size; different values agree in them once in 256."""
     labels = _linked(nodes)
-    rows = nodes.join(labels, "v", "left").select("v", F.coalesce("l", "v").alias("l"), "mh").mapInArrow(_roots(1, runs_needed()), PATHS)
+    marked = nodes.select("v", "mh", may_hold(labels, "v")(F.col("v")).alias("near"))  # only what may have a label is shuffled
+    labelled = marked.filter("near").join(labels, "v", "left").select("v", F.coalesce("l", "v").alias("l"), "mh")
+    rows = labelled.union(marked.filter("NOT near").select("v", "v", "mh")).mapInArrow(_roots(1, runs_needed()), PATHS)
     edges = labels.select(F.col("v").alias("a"), F.col("l").alias("b"))
     for depth in range(DEPTH):
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("l").alias("low"), F.max("l").alias("high"))
         sizes = materialize(sizes.filter("size > 1 AND low <> high").select("path", "size"), "sizes")
-        live = _step(rows.join(sizes, "path"), "live")
-        forget(sizes)
+        live = _live(rows, sizes)
         small = live.filter(F.col("size") <= SMALL).join(nodes.select("v", "sk"), "v").select("path", "v", "l", "sk")
         edges = edges.union(_step(_sorted(small, "path").mapInArrow(_met(1), EDGES).distinct(), "met"))
         large = live.filter(F.col("size") > SMALL).select("path", "v", "l")
